@@ -1,9 +1,10 @@
 """BPE encoding and decoding with a contiguous rank array.
 
-A word is held as a list of part boundaries and, in parallel, the merge rank of every
-pair of neighbouring parts. The least rank is looked for again and again (leftmost on
-ties), its inner boundary is deleted and only the two neighbouring ranks are looked up
-anew. Words are short, so this beats a heap.
+A word is held as an array of its parts, one for each boundary, and in parallel the merge
+rank of every pair of neighbouring parts. The least rank is looked for again and again
+(leftmost on ties), its inner boundary is deleted and only the two neighbouring ranks are
+looked up anew. Words are short, so this beats a heap; all new words of a batch step
+together as the rows of a matrix.
 
 ``Vocabulary`` reads a ``tokenizers`` JSON file of the kind "BPE with word ends, lower
 case, white space dropped" and gives the same ids as that library. White space always
@@ -24,6 +25,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -32,7 +34,9 @@ from stepforge.llm.common import mapped, texts, tokenizer_path
 
 #: Remembered chunks of a worker process; beyond, it starts anew.
 MEMORY = 600_000
-NO_MERGE = 1 << 60
+#: Elements of a matrix of words that are merged together.
+MATRIX = 1 << 20
+NO_MERGE = (1 << 31) - 1
 
 #: Characters with the Unicode property White_Space, as a regex class.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -48,22 +52,53 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in visible else chr(next(rest)) for b in range(256)]
 
 
-def merged(parts: list[int], rank, made: list[int]) -> list[int]:
-    """Merge neighbouring parts of a short word until no pair of them has a rank.
+class Ranks:
+    """Merge ranks of pairs of ids, looked up for whole arrays of pairs."""
 
-    ``parts`` has the id of the part behind each boundary, ``ranks`` beside it the rank
-    of that part with the next. ``rank`` looks up ``left << 32 | right``; ``made`` has the
-    id that the merge of each rank makes.
+    def __init__(self, pairs: list[tuple[int, int]], made: list[int]):
+        keys = np.array([a << 32 | b for a, b in pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), np.array(made, np.int32)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where((self.keys[at] == wanted) & (right >= 0), self.ranks[at], NO_MERGE)
+
+
+def merged(parts: np.ndarray, ranks: Ranks) -> np.ndarray:
+    """Merge neighbouring parts of short words until no pair of them has a rank.
+
+    Each row of ``parts`` is a word: the id of the part behind each of its boundaries, -1
+    beyond its end. Beside it stands the rank of each part with the next. Rows step
+    together: each looks for its least rank (the leftmost), its boundary goes, and only
+    the two ranks beside it are looked up anew. Rows without a rank left are set aside.
     """
-    ranks = [rank(a << 32 | b, NO_MERGE) for a, b in zip(parts, parts[1:], strict=False)]
-    while ranks and (least := min(ranks)) != NO_MERGE:
-        i = ranks.index(least)
-        here = parts[i] = made[least]
-        del parts[i + 1], ranks[i]  # the boundary between the two goes
-        if i:
-            ranks[i - 1] = rank(parts[i - 1] << 32 | here, NO_MERGE)
-        if i < len(ranks):
-            ranks[i] = rank(here << 32 | parts[i + 1], NO_MERGE)
+    parts = parts.copy()
+    rank = np.full(parts.shape, NO_MERGE, np.int32)
+    rank[:, :-1] = ranks.of(parts[:, :-1], parts[:, 1:])
+    rows, places = np.arange(len(parts)), np.arange(parts.shape[1])
+    while len(rows):
+        now = rank[rows]
+        i = now.argmin(1)
+        least = now[np.arange(len(rows)), i]
+        going = least != NO_MERGE
+        rows, i, least, now = rows[going], i[going], least[going], now[going]
+        if not len(rows):
+            break
+        k = np.arange(len(rows))
+        # All that is right of the deleted boundary moves one place to the left.
+        source = np.minimum(places[None, :] + (places[None, :] > i[:, None]), parts.shape[1] - 1)
+        word = np.take_along_axis(parts[rows], source, 1)
+        now = np.take_along_axis(now, np.minimum(places[None, :] + (places[None, :] >= i[:, None]), parts.shape[1] - 1), 1)
+        word[:, -1], now[:, -1] = -1, NO_MERGE
+        here = ranks.made[least]
+        word[k, i] = here
+        after = word[k, np.minimum(i + 1, parts.shape[1] - 1)]
+        now[k, i] = ranks.of(here, after)
+        before = np.maximum(i - 1, 0)
+        now[k, before] = np.where(i > 0, ranks.of(word[k, before], here), now[k, before])
+        parts[rows], rank[rows] = word, now
     return parts
 
 
@@ -77,12 +112,11 @@ class Vocabulary:
         self.ids: dict[str, int] = model["vocab"]
         suffix = model.get("end_of_word_suffix") or ""
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.rank = {self.ids[a] << 32 | self.ids[b]: k for k, (a, b) in enumerate(pairs)}.get
-        self.made = [self.ids[a + b] for a, b in pairs]
+        self.ranks = Ranks([(self.ids[a], self.ids[b]) for a, b in pairs], [self.ids[a + b] for a, b in pairs])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in (self.ids | self.special).items()}
         letters = byte_characters()
-        self.inner, self.last = [self.ids[c] for c in letters], [self.ids[c + suffix] for c in letters]
+        self.inner, self.last = (np.array([self.ids[c + end] for c in letters], np.int32) for end in ("", suffix))
         self.width = "<u2" if max(self.names) < 1 << 16 else "<u4"
         self.library = None
         self.path = path
@@ -111,17 +145,38 @@ class Vocabulary:
             return [bytes(self.byte[c] for c in w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
         return [w.encode() for w in self.words.findall(self.normal(piece))]
 
-    def chunk(self, chunk: str) -> list[int]:
-        """Ids of one chunk between white space."""
-        out: list[int] = []
-        for piece in self.specials.split(chunk) if self.specials and "<" in chunk else (chunk,):
-            if piece in self.special:
-                out.append(self.special[piece])
-            else:
-                for w in self.words_of(piece):
-                    parts = [self.inner[b] for b in w]
-                    parts[-1] = self.last[w[-1]]
-                    out += merged(parts, self.rank, self.made)
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words, those of like length together."""
+        out: list[bytes] = [b""] * len(words)
+        lengths = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(lengths, kind="stable")
+        bounds = np.searchsorted(lengths[order], [0, 5, 9, 13, 17, 25, 33, 1 << 40])
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            step = max(1, MATRIX // max(1, int(lengths[order[b - 1]]))) if b > a else 1
+            for c in range(a, b, step):
+                at = order[c : min(b, c + step)]
+                long = lengths[at]
+                parts = np.full((len(at), int(long.max()) + 1), -1, np.int32)
+                inside = np.arange(parts.shape[1])[None, :] < long[:, None]
+                text = np.frombuffer(b"".join([words[k] for k in at]), np.uint8)
+                parts[inside] = self.inner[text]
+                ends = np.cumsum(long) - 1
+                parts[np.arange(len(at)), long - 1] = self.last[text[ends]]
+                done = merged(parts, self.ranks)
+                counts = (done >= 0).sum(1)
+                packed, width = done[done >= 0].astype(self.width).tobytes(), np.dtype(self.width).itemsize
+                stops = (np.cumsum(counts) * width).tolist()
+                for k, x, y in zip(at.tolist(), [0, *stops], stops, strict=False):
+                    out[k] = packed[x:y]
+        return out
+
+    def pieces(self, chunk: str) -> list[bytes | int]:
+        """Words of a chunk between white space, and ids of special tokens in it."""
+        if "<" not in chunk or not self.specials:
+            return self.words_of(chunk)
+        out: list[bytes | int] = []
+        for piece in self.specials.split(chunk):
+            out += [self.special[piece]] if piece in self.special else self.words_of(piece)
         return out
 
     def chunks(self, text: str) -> list[str]:
@@ -129,31 +184,44 @@ class Vocabulary:
             return [x for x in self.white.split(text) if x]
         return text.split()
 
-    def encode(self, text: str) -> list[int]:
-        return [i for c in self.chunks(text) for i in self.chunk(c)]
-
     def decode(self, ids: list[int]) -> str:
         """The library joins tokens with spaces where a vocabulary has no decoder."""
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 
-class Memory(dict):
-    """Chunk to its packed ids, found when first asked for."""
+class Memory:
+    """Packed ids of chunks and of words, found a batch of texts at a time."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
         self.vocabulary = vocabulary
         self.code = "H" if vocabulary.width == "<u2" else "I"
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+
+    def learn(self, chunks: set[str]) -> None:
+        v = self.vocabulary
+        if len(self.chunks) > MEMORY:
+            self.chunks.clear()
+        if len(self.words) > MEMORY:
+            self.words.clear()
+        pieces = {c: v.pieces(c) for c in chunks - self.chunks.keys()}
+        new = list({p for ps in pieces.values() for p in ps if type(p) is bytes} - self.words.keys())
+        self.words.update(zip(new, v.encode_words(new), strict=True))
+        for c, ps in pieces.items():
+            self.chunks[c] = self.words[ps[0]] if len(ps) == 1 and type(ps[0]) is bytes else b"".join([self.words[p] if type(p) is bytes else array.array(self.code, [p]).tobytes() for p in ps])
+
+    def packed(self, rows: list[str]) -> list[bytes]:
+        """Ids of whole texts, as little-endian integers of the vocabulary's width."""
+        cut, seen = [self.vocabulary.chunks(t) for t in rows], set()
+        for chunks in cut:
+            seen.update(chunks)
+        if len(self.chunks) > MEMORY or not seen <= self.chunks.keys():
+            self.learn(seen)
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, chunks)) for chunks in cut]
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
-        found = self[chunk] = array.array(self.code, self.vocabulary.chunk(chunk)).tobytes()
-        return found
-
-    def packed(self, text: str) -> bytes:
-        """Ids of a whole text, as little-endian integers of the vocabulary's width."""
-        return b"".join(map(self.__getitem__, self.vocabulary.chunks(text)))
+    def encode(self, text: str) -> list[int]:
+        return array.array(self.code, self.packed([text])[0]).tolist()
 
 
 @functools.lru_cache(maxsize=4)
@@ -170,10 +238,10 @@ def names(path: str) -> tuple[list[str], list[str]]:
     return [v.names.get(i, "") for i in ids], [str(i) for i in ids]
 
 
-def digest_row(path: str, text: str) -> tuple[int, str, str, str]:
+def digest_row(path: str, packed: bytes) -> tuple[int, str, str, str]:
     """Number of ids, SHA-256 of the ids in decimal, of the decoded text, that text."""
     known, (tokens, digits) = memory(path), names(path)
-    ids = array.array(known.code, known.packed(text)).tolist()
+    ids = array.array(known.code, packed).tolist()
     decoded = " ".join(map(tokens.__getitem__, ids))
     return len(ids), hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), decoded
 
@@ -183,12 +251,10 @@ def encoded(df: DataFrame, text: str = "text", path: str | None = None) -> DataF
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         known = memory(path)
         width = np.dtype(known.vocabulary.width).itemsize
         for b in batches:
-            rows = [known.packed(t) for t in texts(b.column(text))]
+            rows = known.packed(texts(b.column(text)))
             offsets = np.cumsum([0, *(len(r) // width for r in rows)]).astype(np.int32)
             values = np.frombuffer(b"".join(rows), known.vocabulary.width).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
@@ -221,7 +287,7 @@ def digests(df: DataFrame, text: str = "text", path: str | None = None, keep: tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [digest_row(path, t) for t in texts(b.column(text))]
+            rows = [digest_row(path, x) for x in memory(path).packed(texts(b.column(text)))]
             columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
             out = [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1 : 3 + with_text])]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *out], names=schema.names)

@@ -124,7 +124,7 @@ def write_shards(df: DataFrame, folder: str, key: str = "doc_id", text: str = "t
         known = memory(path)
         end = np.array([end_id], known.vocabulary.width).tobytes()
         for b in batches:
-            packed = [known.packed(t) + end for t in texts(b.column(1))]
+            packed = [x + end for x in known.packed(texts(b.column(1)))]
             docs = b.column(0)
             at = np.searchsorted(np.array(cuts, np.int64), docs.fill_null(0).to_numpy(), side="left")
             at[docs.is_null().to_numpy(zero_copy_only=False)] = 0
