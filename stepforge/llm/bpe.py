@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from stepforge.llm.common import mapped, texts, tokenizer_path
+from stepforge.llm.common import extended, mapped, texts, tokenizer_path
 
 #: Remembered chunks of a worker process; beyond, it starts anew.
 MEMORY = 600_000
@@ -260,7 +260,7 @@ def encoded(df: DataFrame, text: str = "text", path: str | None = None) -> DataF
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, "token_ids"])
 
-    return mapped(df, run, df.schema.add("token_ids", "array<int>"))
+    return mapped(df, run, extended(df, "token_ids array<int>"))
 
 
 def decoded(df: DataFrame, ids: str = "token_ids", path: str | None = None) -> DataFrame:
@@ -273,7 +273,7 @@ def decoded(df: DataFrame, ids: str = "token_ids", path: str | None = None) -> D
             out = pa.array([v.decode(x or []) for x in b.column(ids).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "decoded"])
 
-    return mapped(df, run, df.schema.add("decoded", "string"))
+    return mapped(df, run, extended(df, "decoded string"))
 
 
 def digests(df: DataFrame, text: str = "text", path: str | None = None, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
@@ -281,9 +281,7 @@ def digests(df: DataFrame, text: str = "text", path: str | None = None, keep: tu
     decoded_sha256 and, if asked for, decoded."""
     path = path or tokenizer_path()
     df = df.select(*dict.fromkeys((*keep, text)))
-    schema = df.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    if with_text:
-        schema = schema.add("decoded", "string")
+    schema = extended(df.select(*keep), "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded string" * with_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

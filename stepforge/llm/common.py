@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from stepforge.session import dropped, scratch, ship, shared_dir, written
 
-__all__ = ["dropped", "scratch", "ship", "shared_dir", "written", "table", "tokenizer_path", "mapped", "texts"]
+__all__ = ["dropped", "scratch", "ship", "shared_dir", "written", "table", "tokenizer_path", "mapped", "texts", "extended"]
 
 #: Rows in an Arrow batch: whole texts are long, so batches are short.
 BATCH_ROWS = 1000
@@ -26,7 +27,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with short batches, with this package on the workers."""
     spark = df.sparkSession
     ship(spark)
@@ -37,3 +38,8 @@ def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 def texts(column: pa.Array) -> list[str]:
     """Python strings of a string column, null as the empty text."""
     return [x or "" for x in column.to_pylist()]
+
+
+def extended(df: DataFrame, more: str) -> StructType:
+    """The schema of ``df`` and further columns, in DDL."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stepforge.llm.common import mapped, table, texts, tokenizer_path
+from stepforge.llm.common import extended, mapped, table, texts, tokenizer_path
 
 #: Kinds of spans in their order; the last is the method's own.
 KINDS = ("assign", "access", "hex", "token")
@@ -131,7 +131,7 @@ def secret_spans(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
     """``key`` and ``spans array<struct<kind, start, end>>`` of every whole text."""
     path = path or tokenizer_path("byte_bpe_50k.tiktoken")
     df = df.select(key, text)
-    schema = df.select(key).schema.add("spans", "array<struct<kind:string,start:bigint,end:bigint>>")
+    schema = extended(df.select(key), "spans array<struct<kind:string,start:bigint,end:bigint>>")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
