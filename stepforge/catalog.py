@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("scoring", "labelling", "datasets", "texts", "streams")
+
+
+def _all() -> dict:
+    found: dict = {}
+    for name in MODULES:
+        found |= import_module(f"stepforge.plans.{name}").QUERIES
+    return found
+
 
 def queries() -> dict:
-    return {}
+    return {name: fn for name, (fn, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
