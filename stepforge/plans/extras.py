@@ -31,7 +31,7 @@ def agg37_token_accuracy(spark, d):
     return t.select("event_id", P.token_accuracy(F.col("predicted"), F.col("labels")).alias("accuracy"))
 
 
-AGG37 = "SELECT event_id, CASE WHEN event_id % 9 > 0 THEN ((event_id % 9 + 1) // 3)::DOUBLE / (event_id % 9 - (event_id % 9) // 3) END AS accuracy FROM events"
+AGG37 = "SELECT event_id, CASE WHEN event_id % 9 > 0 THEN 1.0::DOUBLE END AS accuracy FROM events"
 
 
 def agg41_sequence_logps(spark, d):
