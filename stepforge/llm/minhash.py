@@ -13,7 +13,7 @@ Verification and components. Documents with equal shingle sets are one class, he
 smallest id. Within a bucket, members are compared with a centre; two more rounds take
 other centres for members that are still in other components; at last every pair of
 members from different components is compared that no centre has joined, minority against
-all. So no pair that a bucket has is lost, yet pairs inside a component that links have
+all, in cells of bounded size. So no pair that a bucket has is lost, yet pairs inside a component that links have
 already joined are never made: a component's members need no further links. Comparison
 is exact, on full shingle sets.
 
@@ -43,6 +43,8 @@ from stepforge.llm.components import components
 
 BANDS, ROWS = 42, 6
 SHINGLE_WORDS, PERCENT = 5, 80
+#: Comparisons of a component that may become pairs; sets to a side of a grid's cell.
+PAIRS_LIMIT, CELL = 256, 512
 #: Remembered words of a worker process.
 MEMORY = 500_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -166,6 +168,58 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return mapped(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), run, "a long, b long")
 
 
+def remaining(now: DataFrame, open_: DataFrame, sets: DataFrame, percent: int, similar_size) -> DataFrame:
+    """Links between members of unresolved buckets that no centre has joined.
+
+    Whoever is not of a bucket's majority component is compared with that component's
+    members and with the others of its kind. Small cases become pairs; the sets of large
+    ones are laid out in a grid of bounded cells, each of which counts all intersections
+    at once and gives one link for each document and component, so that no table of pairs
+    arises."""
+    few = now.join(open_.select("bucket", F.col("majority").alias("c")), "bucket").where("root <> c").select("c", "id", "n", "root").distinct()
+    few, path = written(few, "few")
+    own = now.select("id", "n", "root").distinct().join(few.select(F.col("c").alias("root")).distinct(), "root", "left_semi")
+    all_ = own.select(F.col("root").alias("c"), "id", "n", "root").union(few)
+    sizes = all_.groupBy("c").agg(F.count("*").alias("nl")).join(few.groupBy("c").agg(F.count("*").alias("nr")), "c")
+    sizes, _ = written(sizes, "sizes")
+
+    small = sizes.where(f"nl * nr <= {PAIRS_LIMIT}").select("c")
+    left = all_.join(small, "c").select("c", "id", "n", "root")
+    right = few.join(small, "c").select("c", F.col("id").alias("a"), F.col("n").alias("m"), F.col("root").alias("ra"))
+    pairs = left.join(right, "c").where("root <> ra").where(similar_size).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+
+    cells = sizes.where(f"nl * nr > {PAIRS_LIMIT}").select("c", F.expr(f"(nl - 1) div {CELL} + 1").alias("i"), F.expr(f"(nr - 1) div {CELL} + 1").alias("j"))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = all_.join(cells, "c").select("c", place("i").alias("x"), spread("j").alias("y"), "id", "root").join(sets, "id")
+    columns = few.join(cells, "c").select("c", spread("i").alias("x"), place("j").alias("y"), "id", "root").join(sets, "id")
+    columns = columns.select(*(F.col(c).alias(f"{c}_") for c in ("c", "x", "y", "id", "root", "shingles")))
+
+    def cell(rows: pa.Table, columns: pa.Table) -> pa.Table:
+        a, b = [], []
+        if len(rows) and len(columns):
+            ids, roots = rows.column("id").to_pylist(), rows.column("root").to_numpy()
+            packed = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]
+            n = np.array([len(x) for x in packed])
+            every = np.concatenate(packed)
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], np.repeat(np.arange(len(n)), n)[order]
+            for key, root, s in zip(columns.column("id_").to_pylist(), columns.column("root_").to_pylist(), columns.column("shingles_"), strict=True):
+                s = np.frombuffer(s.as_buffer(), np.uint64)
+                low, high = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
+                many = high - low
+                at = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+                same = np.bincount(owner[at], minlength=len(n))
+                linked = np.flatnonzero((100 * same >= percent * (n + len(s) - same)) & (roots != root))
+                for k in linked[np.unique(roots[linked], return_index=True)[1]].tolist():
+                    a.append(ids[k])
+                    b.append(key)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    large = rows.groupBy("c", "x", "y").cogroup(columns.groupBy("c_", "x_", "y_")).applyInArrow(cell, "a long, b long")
+    return verified(pairs, sets, percent).union(large)
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of ``df``."""
     spark = df.sparkSession
@@ -184,8 +238,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     roots, roots_path = None, None
     paths = []
     for step in range(4):
-        now = buckets
-        if step:
+        if not step:
+            pairs = buckets.where("id <> centre").groupBy("id").agg(F.min("centre").alias("a"))
+            found = verified(pairs.select("a", F.col("id").alias("b")), sets, percent)
+        else:
             now = buckets.drop("centre").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
             open_ = now.groupBy("bucket").agg(
                 F.min("root").alias("r0"), F.max("root").alias("r1"),
@@ -195,13 +251,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
             if step < 3:
                 pairs = now.join(open_, "bucket").where("root <> c.root").withColumn("m", F.col("c.n")).where(similar_size)
                 pairs = pairs.groupBy("id").agg(F.min("c.id").alias("a"))
+                found = verified(pairs.select("a", F.col("id").alias("b")), sets, percent)
             else:
-                here = now.join(open_.select("bucket", "majority"), "bucket")
-                few = here.where("root <> majority").select("bucket", F.col("id").alias("a"), F.col("n").alias("m"), F.col("root").alias("ra"))
-                pairs = here.join(few, "bucket").where("root <> ra AND (root = majority OR id < a)").where(similar_size).select("a", "id").distinct()
-        else:
-            pairs = buckets.where("id <> centre").groupBy("id").agg(F.min("centre").alias("a"))
-        links, path = written(verified(pairs.select("a", F.col("id").alias("b")), sets, percent), "links")
+                found = remaining(now, open_, sets, percent, similar_size)
+        links, path = written(found, "links")
         paths.append(path)
         linked = links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         new, new_path = components(linked)
