@@ -6,7 +6,7 @@ distance. Each of ``projections`` random directions has an array of the vectors
 their projection. For a query, a window about its own projection is opened in every array
 and widened by a constant factor, round after round (virtual rehashing: no second index);
 a vector collects one collision for each window it is in. Once enough vectors have reached
-the collision threshold, a share of the block plus k, exactly those are verified with inner
+the collision threshold, a share of the block plus a multiple of k, exactly those are verified with inner
 products in double precision.
 
 All vectors are indexed, in blocks of bounded size dealt out by hash; every block of
@@ -35,8 +35,8 @@ from stepforge.llm.common import ship, table
 PROJECTIONS = 128
 #: Share of the arrays a vector must collide in.
 THRESHOLD = 0.75
-#: Share of a block that is verified, at least.
-VERIFIED = 0.12
+#: Share of a block that is verified, at least, beside so many times k vectors.
+VERIFIED, TIMES_K = 0.12, 8
 FIRST_WINDOW, WIDER = 0.4, 1.1
 BLOCK_VECTORS, BLOCK_QUERIES = 8192, 4096
 
@@ -55,7 +55,7 @@ class CollisionIndex:
         self.sorted = np.take_along_axis(np.ascontiguousarray(at.T), self.order, 1)
 
     def candidates(self, query: np.ndarray, k: int, verified: float = VERIFIED, threshold: float = THRESHOLD) -> np.ndarray:
-        enough = min(self.n, int(verified * self.n) + k)
+        enough = min(self.n, int(verified * self.n) + TIMES_K * k)
         if enough == self.n:
             return np.arange(self.n)
         at = query @ self.directions[:-1] / np.sqrt((query**2).sum())
