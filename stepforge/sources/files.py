@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,5 +131,5 @@ def checked(df: DataFrame, required: list[str]) -> DataFrame:
 
 
 def last_row(df: DataFrame, order: str) -> DataFrame:
-    """SRC-17."""
-    return df.withColumn("_n", F.row_number().over(Window.orderBy(F.col(order).desc()))).where("_n = 1").drop("_n") if order not in df.columns else df.groupBy().agg(F.max_by(F.struct(*df.columns), order).alias("r")).select("r.*")
+    """SRC-17: the row that is last in ``order``."""
+    return df.groupBy().agg(F.max_by(F.struct(*df.columns), order).alias("r")).select("r.*")
