@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 
 from stepforge.llm.common import ship, table
 
-PROJECTIONS = 128
+PROJECTIONS = 64
 #: Share of the arrays a vector must collide in.
 THRESHOLD = 0.75
 #: Share of a block that is verified, at least, beside so many times k vectors.
-VERIFIED, TIMES_K = 0.12, 8
-FIRST_WINDOW, WIDER = 0.4, 1.1
-BLOCK_VECTORS, BLOCK_QUERIES = 8192, 4096
+VERIFIED, TIMES_K = 0.25, 8
+FIRST_WINDOW, WIDER, ROUNDS = 1.1, 1.06, 24
+#: Queries whose windows are laid out together.
+QUERY_ROWS = 256
+BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 1024
 
 
 class CollisionIndex:
@@ -54,26 +56,33 @@ class CollisionIndex:
         self.order = np.ascontiguousarray(np.argsort(at, axis=0, kind="stable").T)
         self.sorted = np.take_along_axis(np.ascontiguousarray(at.T), self.order, 1)
 
-    def candidates(self, query: np.ndarray, k: int, verified: float = VERIFIED, threshold: float = THRESHOLD) -> np.ndarray:
+    def windows(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of every window, by round, query and projection."""
+        at = queries @ self.directions[:-1] / np.sqrt((queries**2).sum(1))[:, None]
+        reach = FIRST_WINDOW * WIDER ** np.arange(ROUNDS)
+        low, high = (np.empty((ROUNDS, *at.shape), np.int64) for _ in range(2))
+        for j, s in enumerate(self.sorted):
+            low[:, :, j] = np.searchsorted(s, at[:, j] - reach[:, None])
+            high[:, :, j] = np.searchsorted(s, at[:, j] + reach[:, None], "right")
+        return low, high
+
+    def candidates(self, low: np.ndarray, high: np.ndarray, k: int, verified: float = VERIFIED, threshold: float = THRESHOLD) -> np.ndarray:
+        """Vectors that reach the threshold of a query, whose windows are given by round;
+        all, where a block is small or the widest windows leave too few."""
         enough = min(self.n, int(verified * self.n) + TIMES_K * k)
         if enough == self.n:
             return np.arange(self.n)
-        at = query @ self.directions[:-1] / np.sqrt((query**2).sum())
-        least, half = int(np.ceil(threshold * len(at))), FIRST_WINDOW
-        low = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at, strict=True)])
-        high, counts = low.copy(), np.zeros(self.n, np.int64)
-        while True:
+        least, counts = int(np.ceil(threshold * low.shape[1])), np.zeros(self.n, np.int64)
+        for r in range(len(low)):
             new = []
-            for j, s in enumerate(self.sorted):
-                a, b = np.searchsorted(s, (at[j] - half, at[j] + half))
-                a, b = min(a, low[j]), max(b, high[j])
-                new += [self.order[j, a : low[j]], self.order[j, high[j] : b]]
-                low[j], high[j] = a, b
+            for order, a, b, c, d in zip(self.order, low[r].tolist(), low[r - 1].tolist(), high[r - 1].tolist(), high[r].tolist(), strict=True):
+                # What a wider window adds on either side; the first is all new.
+                new += [order[a:b], order[c:d]] if r else [order[a:d]]
             counts += np.bincount(np.concatenate(new), minlength=self.n)
             found = np.flatnonzero(counts >= least)
-            if len(found) >= enough or half > 2 * np.abs(self.sorted[:, [0, -1]]).max() + 2 * np.abs(at).max():
+            if len(found) >= enough:
                 return found
-            half *= WIDER
+        return np.arange(self.n)
 
 
 def block_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, **options) -> Iterator[tuple[int, int, float]]:
@@ -82,18 +91,29 @@ def block_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     which = which.ravel()
     order = np.lexsort((ids, which))
     bounds = np.searchsorted(which[order], np.arange(len(different) + 1))
-    index = CollisionIndex(different)
-    for q, query in zip(query_ids.tolist(), queries, strict=True):
-        at = index.candidates(query, k + 1, **options)
-        score = (different[at] * query).sum(1)
-        # The best k + 1 vectors, with all that tie with the last, hold the best k ids.
-        if len(at) > k + 1:
-            last = np.partition(score, len(at) - k - 1)[len(at) - k - 1]
-            at, score = at[score >= last], score[score >= last]
-        # The k + 1 smallest ids of a vector are all that it can bring.
-        got = [(-s, i, s) for a, s in zip(at.tolist(), score.tolist(), strict=True) for i in ids[order[bounds[a] : bounds[a + 1]][: k + 1]].tolist() if i != q]
-        for _, i, s in sorted(got)[:k]:
-            yield q, i, s
+    index, single = CollisionIndex(different), different.astype(np.float32)
+    for first in range(0, len(queries), QUERY_ROWS):
+        some = queries[first : first + QUERY_ROWS]
+        for q, query, low, high in zip(query_ids[first : first + QUERY_ROWS].tolist(), some, *(w.swapaxes(0, 1) for w in index.windows(some)), strict=True):
+            yield from _best(different, single, ids, order, bounds, q, query, index.candidates(low, high, k + 1, **options), k, index.scale * float(np.sqrt((query**2).sum())))
+
+
+def _best(different: np.ndarray, single: np.ndarray, ids: np.ndarray, order: np.ndarray, bounds: np.ndarray, q: int, query: np.ndarray, at: np.ndarray, k: int, reach: float) -> Iterator[tuple[int, int, float]]:
+    """The best k ids of the candidates of one query, verified; no product exceeds ``reach``."""
+    if len(at) > k + 1:
+        # A fast product first; whatever rounding could have moved stays.
+        rough = single[at] @ query.astype(np.float32)
+        last = np.partition(rough, len(at) - k - 1)[len(at) - k - 1]
+        at = at[rough >= last - 1e-4 * reach]
+    score = (different[at] * query).sum(1)
+    # The best k + 1 vectors, with all that tie with the last, hold the best k ids.
+    if len(at) > k + 1:
+        last = np.partition(score, len(at) - k - 1)[len(at) - k - 1]
+        at, score = at[score >= last], score[score >= last]
+    # The k + 1 smallest ids of a vector are all that it can bring.
+    got = [(-s, i, s) for a, s in zip(at.tolist(), score.tolist(), strict=True) for i in ids[order[bounds[a] : bounds[a + 1]][: k + 1]].tolist() if i != q]
+    for _, i, s in sorted(got)[:k]:
+        yield q, i, s
 
 
 def neighbours(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", block_vectors: int = BLOCK_VECTORS, block_queries: int = BLOCK_QUERIES, **options) -> DataFrame:

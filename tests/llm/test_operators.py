@@ -351,9 +351,9 @@ def test_collision_counting_recall():
     v = rng.normal(size=(3000, 32))
     index = neighbours.CollisionIndex(v)
     hits = 0
-    for q in v[:30]:
+    for q, low, high in zip(v[:30], *(w.swapaxes(0, 1) for w in index.windows(v[:30])), strict=True):
         best = np.argsort(-(v @ q))[:10]
-        hits += len(set(best) & set(index.candidates(q, 10)))
+        hits += len(set(best) & set(index.candidates(low, high, 10)))
     assert hits >= 0.9 * 300
 
 
