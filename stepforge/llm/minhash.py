@@ -44,7 +44,9 @@ from stepforge.llm.components import components
 BANDS, ROWS = 42, 6
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Comparisons of a component that may become pairs; sets to a side of a grid's cell.
-PAIRS_LIMIT, CELL = 256, 512
+PAIRS_LIMIT, CELL = 256, 256
+#: Rows of full sets in a batch: a long document has very many shingles.
+SET_ROWS = 64
 #: Remembered words of a worker process.
 MEMORY = 500_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -146,7 +148,7 @@ def full_sets(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
             sets = [shingles(t, width).tobytes() for t in texts(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    return mapped(df.select(F.col(key).cast("long"), text), run, "id long, shingles binary")
+    return mapped(df.select(F.col(key).cast("long"), text), run, "id long, shingles binary", SET_ROWS)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -165,7 +167,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return mapped(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), run, "a long, b long")
+    return mapped(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), run, "a long, b long", SET_ROWS)
 
 
 def remaining(now: DataFrame, open_: DataFrame, sets: DataFrame, percent: int, similar_size) -> DataFrame:
