@@ -13,7 +13,7 @@ All vectors are indexed, in blocks of bounded size dealt out by hash; every bloc
 queries meets every block of vectors, and the best k of each meeting are merged. Equal
 vectors of a block are indexed once and stand for all their ids, so copies can't crowd out
 others. On isotropic random vectors, the hardest case, the collision threshold passes about
-a fifth of a block and recall at 20 is about 0.95.
+a third of a block and recall at 20 is about 0.95.
 
 Defined results: null, empty or all-zero vectors, those with null or non-finite components
 and those without id take no part; vectors of different lengths don't meet; ties go to the
