@@ -2,20 +2,20 @@
 
 Base: places where a phrase's words stand one after another. Method: every template word
 is indexed with its positions; document frequencies of the indexed words over all
-documents give their IDF; of each file the licence words of highest IDF are looked up, and
-each pair of a place in the file and a posting votes for a relative position. A template
-that most of its rare words agree on at one relative position is a candidate; it counts
-once the file has one of its mandatory key phrases. Everything is SQL expressions and
+documents give their IDF; every licence word of a file is looked up, and each pair of a
+place in the file and a posting votes for a relative position, so that no licence of a file
+takes the place of another. A template whose words at one relative position have most of
+the weight of its rarest words is a candidate; it counts once the file has one of its
+mandatory key phrases. Everything is SQL expressions and
 aggregations; only files with an indexed word keep their words past the first pass.
 
 A word is a run of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z. The
-score is 1 for a verified template whose rare words all agree, less by the IDF weight that
-is missing, at least 0.5 where a base phrase stands, and 0 without any label.
+score is 1 for a verified template whose agreeing words have the weight of its
+``RARE_WORDS`` rarest, less by the IDF weight that is missing, at least 0.5 where a base phrase stands, and 0 without any label.
 
 Defined results: null and empty texts have no words, labels are the empty text; very long
-texts are read whole; repeated rows have repeated results, ids need not be unique; ties in
-IDF go to the first word in alphabetical order; an empty table gives no rows; other
-columns are ignored.
+texts are read whole; repeated rows have repeated results, ids need not be unique; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,6 +60,7 @@ TEMPLATES = {
 }
 #: Template words too common to be indexed.
 COMMON = "a an and any are as at be by for from in into is it may not of on or that the this to under use used with without you 0 2 3 4".split()
+#: A template needs no more weight than so many of its words of highest IDF have.
 RARE_WORDS = 12
 #: Least share of a template's IDF weight that must agree on one relative position.
 AGREEMENT = 0.6
@@ -92,7 +93,6 @@ def license_labels(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     # One row for each indexed word at most.
     frequency = dict(rows.select(F.explode("_hits").alias("w")).groupBy("w").count().collect())
     idf = {w: math.log((1 + n_docs) / (1 + frequency.get(w, 0))) + 0.01 for w in vocabulary}
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (-idf[w], w)))}
 
     few = rows.where(F.size("_hits") > 0)
     is_at = lambda words: "(" + " AND ".join(f"get(_w, i + {d}) = '{w}'" for d, w in enumerate(words)) + ")"
@@ -101,14 +101,11 @@ def license_labels(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     starts = " ".join(f"WHEN {is_at(p.split())} THEN '{label}'" for p, label in PHRASES.items())
     few = few.withColumn("_base", F.expr(f"array_sort(array_distinct(transform(_at, i -> CASE {starts} END)))"))
 
-    # Postings: (template, position, weight) by word; words of a file by descending IDF.
+    # Postings: (template, position, weight) by word.
     postings = {w: [(i, p, idf[w]) for i, _, words, _ in numbered for p, x in enumerate(words) if x == w] for w in vocabulary}
     post = "map(" + ", ".join(f"'{w}', array(" + ", ".join(f"named_struct('t', {i}, 'p', {p}, 'x', {x!r}D)" for i, p, x in found) + ")" for w, found in postings.items() if found) + ")"
-    ranks = "map(" + ", ".join(f"'{w}', {r}" for w, r in rank.items()) + ")"
-    rare = few.withColumn("_rare", F.expr(f"slice(transform(array_sort(transform(_hits, w -> named_struct('r', {ranks}[w], 'w', w))), s -> s.w), 1, {RARE_WORDS})"))
-    places = rare.select("_row", F.expr("inline(filter(transform(_w, (w, i) -> named_struct('w', w, 'i', i)), s -> array_contains(_rare, s.w)))"))
+    places = few.select("_row", F.expr(f"inline(filter(transform(_w, (w, i) -> named_struct('w', w, 'i', i)), s -> array_contains({_array(vocabulary)}, s.w)))"))
     votes = places.select("_row", "i", F.expr(f"inline({post}[w])")).groupBy("_row", "t", (F.col("i") - F.col("p")).alias("at")).agg(F.sum("x").alias("weight"))
-    # A template can bring no more than its own words of highest IDF.
     full = {i: sum(sorted((idf[w] for w in words if w in idf), reverse=True)[:RARE_WORDS]) for i, _, words, _ in numbered}
     share = F.least(F.lit(1.0), F.col("weight") / F.expr("element_at(array(" + ", ".join(f"{full[i]!r}D" for i, *_ in numbered) + "), t + 1)"))
     best = votes.withColumn("share", share).where(F.col("share") >= AGREEMENT).groupBy("_row", "t").agg(F.max("share").alias("share"))

@@ -378,3 +378,14 @@ def test_licenses(spark, docs, odd, empty):
     by = {r.doc_id: r for r in licenses.license_labels(texts).collect()}
     assert by[1].labels == "mit" and by[1].base_labels == "" and by[3].labels == "" and by[6].labels == "cc-by,cc-by-nc-4.0"
     assert licenses.license_labels(empty).count() == 0
+
+
+def test_licenses_many_in_one_file(spark):
+    mit, apache = (licenses.TEMPLATES[k][1][0] for k in ("mit", "apache-2.0"))
+    every = [t for texts in licenses.TEMPLATES.values() for t, _ in texts]
+    # Words of the Apache notice are common here, so that those of the MIT notice are rarer.
+    rows = [(i, f"licensed under the apache license version {i} and other words") for i in range(20)]
+    rows += [(100, f"{mit}. Licensed under the Apache License, Version 2.0"), (101, f"{mit} and words {apache}"), (102, " and more words ".join(every))]
+    by = {r.doc_id: r.labels for r in licenses.license_labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert by[100] == by[101] == "apache,apache-2.0,mit"
+    assert set(licenses.TEMPLATES) <= set(by[102].split(","))
