@@ -357,6 +357,24 @@ def test_collision_counting_recall():
     assert hits >= 0.9 * 300
 
 
+@pytest.mark.parametrize("norms", ["unit", "gaussian", "log-normal", "outlier 3", "outlier 10"])
+def test_neighbours_recall_of_uneven_norms(norms):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(10_000, 64))
+    if norms != "gaussian":
+        v /= np.sqrt((v**2).sum(1))[:, None]
+    if norms == "log-normal":
+        v *= np.exp(rng.normal(0, 0.5, size=(len(v), 1)))
+    if norms.startswith("outlier"):
+        v[17] *= int(norms.split()[1])
+    ids, asked, k = np.arange(len(v)), np.arange(0, len(v), 100), 20
+    got = collections.defaultdict(set)
+    for q, i, _ in neighbours.block_search(ids, v, ids[asked], v[asked], k):
+        got[q].add(i)
+    hits = sum(len(got[q] & set([i for i in np.argsort(-(v @ v[q])).tolist() if i != q][:k])) for q in asked.tolist())
+    assert all(len(x) == k for x in got.values()) and hits >= 0.93 * k * len(asked), hits / (k * len(asked))
+
+
 # ------------------------------------------------------------------ 10 licences
 def test_licenses(spark, docs, odd, empty):
     texts = spark.createDataFrame([
