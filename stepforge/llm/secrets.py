@@ -2,9 +2,12 @@
 
 The base finds assignments, access keys and hex runs. The method adds spans of kind
 ``token``: a run of key characters that a public tiktoken vocabulary cuts into very
-short tokens (few characters a token) is a random string. Excluded are known digests
-(hex runs of a digest's length), identifiers (UUIDs, plain numbers, runs without both
-letters and digits) and whatever a base span already covers.
+short tokens (few characters a token) is a random string. Of a run that isn't one as a
+whole, the stretches of parts between ``=``, ``/``, ``-`` and ``_`` that are cut shortest
+are tested, so that words before a key don't hide it. Excluded are known digests
+(hex runs of a digest's length), identifiers (UUIDs, plain numbers, letters that are words
+of the vocabulary between separators) and what a base span already covers; what it leaves
+of a run is tested.
 
 A batch of texts is scanned as one text whose parts are separated by newlines, which no
 pattern can cross; runs come from one vectorised pass over code points.
@@ -40,6 +43,9 @@ MIN_RUN = 20
 CHARS_PER_TOKEN = 2.2
 #: Hex lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
+#: Parts of a run, and the least length of the one that a random stretch must have.
+PART = re.compile(r"[^=/_-]+")
+MIN_PART = 8
 UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
 HEX = re.compile(r"[0-9A-Fa-f]+")
 PLACEHOLDER = "[REDACTED]"
@@ -75,16 +81,70 @@ def encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def known(core: str) -> bool:
+    """Whether a run is a plain number or punctuation, a UUID or a digest."""
+    return not any(c.isalpha() for c in core) or bool(UUID.fullmatch(core)) or bool(HEX.fullmatch(core) and len(core) in DIGEST_LENGTHS)
+
+
 def random_looking(run: str, path: str, chars_per_token: float = CHARS_PER_TOKEN) -> bool:
-    """Whether a run of key characters fails the token-efficiency test."""
+    """Whether a run of key characters fails the token-efficiency test as a whole."""
     core = run.strip("=-_/+")
-    if len(core) < MIN_RUN or core.isdigit() or not any(c.isdigit() for c in core) or not any(c.isalpha() for c in core):
-        return False
-    if UUID.fullmatch(core) or (HEX.fullmatch(core) and len(core) in DIGEST_LENGTHS):
+    if len(core) < MIN_RUN or known(core) or not any(c.isdigit() for c in core):
         return False
     return len(core) < chars_per_token * len(encoding(path).encode_ordinary(core))
 
 
+def random_parts(run: str, path: str, chars_per_token: float = CHARS_PER_TOKEN) -> list[tuple[int, int]]:
+    """Bounds of the stretches of a run's parts that fail the test, with or without digits.
+
+    A part weighs what it lacks of ``chars_per_token`` for each of its tokens; separators
+    have no weight. Stretches are the disjoint ones of largest weight (Ruzzo and Tompa), so
+    each begins and ends with a part of its own weight. Letters that are one token are a
+    word. A stretch has a part of ``MIN_PART`` characters that fails for itself: dates,
+    versions and chains of short words have none.
+    """
+    if len(run) < MIN_RUN or known(run.strip("=-_/+")):
+        return []
+    apart = [m.span() for m in UUID.finditer(run)]
+    pieces: list[tuple[float, float, int, int]] = []
+    total = 0.0
+    for m in PART.finditer(run):
+        part, (a, b) = m[0], m.span()
+        n = len(encoding(path).encode_ordinary(part))
+        weight = chars_per_token * n - len(part)
+        if any(x <= a and b <= y for x, y in apart) or (HEX.fullmatch(part) and len(part) in DIGEST_LENGTHS) or (n == 1 and part.isalpha()):
+            weight = -float(len(part))
+        before, total = total, total + weight
+        if weight <= 0:
+            continue
+        now = (before, total, a, b)
+        while True:
+            j = next((j for j in range(len(pieces) - 1, -1, -1) if pieces[j][0] < now[0]), -1)
+            if j < 0 or pieces[j][1] >= now[1]:
+                break
+            now = (pieces[j][0], now[1], pieces[j][2], now[3])
+            del pieces[j:]
+        pieces.append(now)
+    out = []
+    for _, _, a, b in pieces:
+        stretch = run[a:b]
+        if len(stretch) < MIN_RUN or known(stretch):
+            continue
+        if any(len(p) >= MIN_PART and len(p) < chars_per_token * len(encoding(path).encode_ordinary(p)) for p in PART.findall(stretch)):
+            out.append((a, b))
+    return out
+
+
+def uncovered(a: int, b: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What spans, in order of their starts, leave of a run."""
+    out = []
+    for start, _, end in spans:
+        if start > a:
+            out.append((a, min(start, b)))
+        a = max(a, end)
+    return [*out, (a, b)] if a < b else out
+
+
 def scan(rows: list[str], path: str) -> list[list[tuple[int, int, int]]]:
     """For each text its spans (start, place of the kind in KINDS, end), in order."""
     joined = "\n".join(rows)
@@ -102,8 +162,14 @@ def scan(rows: list[str], path: str) -> list[list[tuple[int, int, int]]]:
     more = []
     for a, b in runs(IS_KEY[points], MIN_RUN):
         k = bisect.bisect_left(base, b)
-        if not (k and furthest[k - 1] > a) and random_looking(joined[a:b], path):
-            more.append((a, 3, b))
+        free = [(a, b)]
+        if k and furthest[k - 1] > a:
+            free = [] if known(joined[a:b].strip("=-_/+")) else uncovered(a, b, spans[bisect.bisect_right(furthest, a) : k])
+        for a, b in free:
+            if random_looking(joined[a:b], path):
+                more.append((a, 3, b))
+            else:
+                more += [(a + x, 3, a + y) for x, y in random_parts(joined[a:b], path)]
     out: list[list[tuple[int, int, int]]] = [[] for _ in rows]
     for a, kind, b in sorted(spans + more):
         doc = bisect.bisect_right(starts, a) - 1
