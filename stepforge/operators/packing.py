@@ -86,12 +86,15 @@ def padding_free(rows: Column, limit: int) -> Column:
     return F.aggregate(rows, start, join)
 
 
-def dynamic_batches(lengths: Column, micro: int, limit: int, padded: bool = True) -> Column:
+def dynamic_batches(lengths: Column, micro: int, limit: int, padded: bool = True, carried: Column | None = None) -> Column:
     """BAT-02, BAT-03: sizes of successive batches under a token budget: ``micro`` times
-    ``limit`` tokens, counted padded to the longest or as they are. The tail that doesn't
-    fill a batch is not emitted."""
+    ``limit`` tokens, counted padded to the longest or as they are. ``carried`` is the
+    unfinished batch before these lengths, a struct of n, longest and total. The tail that
+    doesn't fill a batch is not emitted."""
     budget = micro * limit
-    start = F.struct(F.array().cast("array<int>").alias("sizes"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("longest"), F.lit(0).cast("long").alias("total"))
+    none = {"n": F.lit(0), "longest": F.lit(0), "total": F.lit(0)}
+    first = {k: carried[k] if carried is not None else v for k, v in none.items()}
+    start = F.struct(F.array().cast("array<int>").alias("sizes"), first["n"].cast("int").alias("n"), first["longest"].cast("long").alias("longest"), first["total"].cast("long").alias("total"))
 
     def step(s, x):
         x = F.least(x.cast("long"), F.lit(limit).cast("long"))
@@ -108,6 +111,40 @@ def dynamic_batches(lengths: Column, micro: int, limit: int, padded: bool = True
     return F.aggregate(lengths, start, step).sizes
 
 
+def _carried_on(lengths: list[int], state: tuple[int, int, int], micro: int, limit: int, padded: bool) -> tuple[int, int, int]:
+    """The unfinished batch (n, longest, total) after further lengths."""
+    n, longest, total = state
+    budget = micro * limit
+    for x in lengths:
+        x = limit if x is None else min(x, limit)
+        if n and (max(longest, x) * (n + 1) if padded else total + x) > budget:
+            n, longest, total = 1, x, x
+        else:
+            n, longest, total = n + 1, max(longest, x), total + x
+    return n, longest, total
+
+
+def stream_batches(df: DataFrame, length: str, micro: int, limit: int, padded: bool = True, position: str = "line_no", batch: int = 1000) -> DataFrame:
+    """(batch, i, size): dynamic batches over all rows in line order, as one stream cut into
+    groups of ``batch`` lines; a batch belongs to the group that ends it and only the tail at
+    the end of the input is left out.
+
+    A batch that is unfinished at the end of a group is carried over. The driver folds the
+    lengths in order, a partition at a time, and keeps three numbers for each group."""
+    from stepforge.session import written
+
+    spark = df.sparkSession
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(position, length))), lambda x: x[length])
+    t, _ = written(df.groupBy(F.floor(F.col(position) / batch).alias("batch")).agg(lines.alias("_ls")), "stream-groups")
+    state, states = (0, 0, 0), []
+    for r in t.orderBy("batch").toLocalIterator():
+        states.append((r["batch"], *state))
+        state = _carried_on(r["_ls"], state, micro, limit, padded)
+    carried = spark.createDataFrame(states, "batch long, n int, longest long, total long")
+    sizes = dynamic_batches(F.col("_ls"), micro, limit, padded, F.struct("n", "longest", "total"))
+    return t.join(carried, "batch").select("batch", F.posexplode(sizes).alias("i", "size"))
+
+
 def padded(values: Column, length: Column, fill) -> Column:
     """BAT-06: truncated or filled up on the right."""
     return F.concat(F.slice(values, F.lit(1), length), F.array_repeat(F.lit(fill), F.greatest(length - F.size(values), F.lit(0))))

@@ -165,8 +165,8 @@ def pck01_knapsacks(spark, d):
 
 
 def bat02_dynamic(spark, d):
-    t = D.numbered(read(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").groupBy(F.floor(F.col("line_no") / 1000).alias("batch")).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "n_chars"))), lambda x: x.n_chars).alias("ls"))
-    return t.select("batch", F.posexplode(P.dynamic_batches(F.col("ls"), 4, 8192)).alias("i", "size"))
+    t = D.numbered(read(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return P.stream_batches(t, "n_chars", 4, 8192)
 
 
 def bat01_micro(spark, d):

@@ -113,3 +113,31 @@ def test_parts_and_overlap():
     assert tools.reply_parts('<think>a</think>b<tool_call>{"x": 1}</tool_call>') == [("reasoning", "a"), ("text", "b"), ("tool_call", '{"x": 1}')]
     assert overlap.bleu4("hello", "hello") == pytest.approx(1.0) and overlap.bleu4("", "a") == 0.0
     assert overlap.rouge("a b c".split(), "a c".split())["rouge-l"] == pytest.approx(0.8)
+
+
+@pytest.mark.parametrize("padded", [True, False])
+def test_stream_batches(spark, padded):
+    lengths = [(i * 7919) % 23 + 1 for i in range(95)]
+    rows = spark.createDataFrame(list(enumerate(lengths)), "line_no long, n int")
+    want, size, longest, total = [], 0, 0, 0
+    for x in lengths:
+        x = min(x, 20)
+        if size and (max(longest, x) * (size + 1) if padded else total + x) > 40:
+            want.append(size)
+            size, longest, total = 0, 0, 0
+        size, longest, total = size + 1, max(longest, x), total + x
+    # Groups of 10 lines, and of 2, which many batches reach over.
+    for batch in (10, 2):
+        got = P.stream_batches(rows, "n", 2, 20, padded, batch=batch).orderBy("batch", "i").collect()
+        assert [r["size"] for r in got] == want and sum(want) == len(lengths) - size
+    assert P.stream_batches(rows.limit(0), "n", 2, 20, padded).count() == 0
+
+
+def test_dynamic_query_crosses_groups(spark, tmp_path):
+    from stepforge.plans import datasets
+
+    lengths = [(i * 7919) % 9000 + 1 for i in range(2500)]
+    spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    last = P._carried_on(lengths, (0, 0, 0), 4, 8192, True)[0]
+    got = datasets.bat02_dynamic(spark, str(tmp_path)).collect()
+    assert sum(r["size"] for r in got) == len(lengths) - last
