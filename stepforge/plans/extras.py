@@ -138,6 +138,11 @@ def srt01_result_keys(spark, d):
     return steps(spark, d).select("chain_id", "step").orderBy("chain_id", "step").limit(50)
 
 
+def srt01_sorted_keys(spark, d):
+    """All result keys in order; ``srt01_result_keys`` is the head that its SQL asks for."""
+    return steps(spark, d).select("chain_id", "step").orderBy("chain_id", "step")
+
+
 def srt09_first_failures(spark, d):
     return steps(spark, d).where("step_score IS NULL").orderBy("chain_id", "step").limit(20).select("chain_id", "step")
 
@@ -191,6 +196,7 @@ QUERIES = {
     "flt08_retired": (flt08_retired, oracle(" SELECT chain_id % 2 = 0 OR chain_id % 5000 > 4000 AS done, count(*) AS n, count(CASE WHEN chain_id % 5000 <= 4000 THEN answer END) AS answers FROM chains GROUP BY 1")),
     "flt19_mixed_schemes": (flt19_mixed_schemes, "SELECT count(DISTINCT CASE WHEN o_orderkey % 7 = 0 THEN '(none)' ELSE o_orderstatus END) > 1 AS with_null, count(DISTINCT CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END) AS schemes FROM orders"),
     "srt01_result_keys": (srt01_result_keys, oracle(" SELECT chain_id, step FROM steps ORDER BY chain_id, step LIMIT 50")),
+    "srt01_sorted_keys": (srt01_sorted_keys, oracle(" SELECT chain_id, step FROM steps ORDER BY chain_id, step")),
     "srt09_first_failures": (srt09_first_failures, oracle(" SELECT chain_id, step FROM steps WHERE step_score IS NULL ORDER BY chain_id, step LIMIT 20")),
     "set03_difference": (set03_difference, "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders"),
     "set04_covered": (set04_covered, "SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus IN ('F', 'O')"),

@@ -141,3 +141,11 @@ def test_dynamic_query_crosses_groups(spark, tmp_path):
     last = P._carried_on(lengths, (0, 0, 0), 4, 8192, True)[0]
     got = datasets.bat02_dynamic(spark, str(tmp_path)).collect()
     assert sum(r["size"] for r in got) == len(lengths) - last
+
+
+def test_all_result_keys_are_sorted(spark, sf):
+    from stepforge import catalog
+    from stepforge.plans.lens import steps
+
+    got = [tuple(r) for r in catalog.queries()["srt01_sorted_keys"](spark, sf).collect()]
+    assert got == sorted(got) and len(got) == steps(spark, sf).count() > 50
