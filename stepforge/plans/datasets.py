@@ -159,7 +159,7 @@ SELECT batch, max(n // 64) AS blocks, sum(id)::BIGINT AS total FROM r WHERE i <
 
 
 def pck01_knapsacks(spark, d):
-    t = D.numbered(read(spark, d, "documents").select("doc_id", F.least(F.col("n_chars"), F.lit(5000)).alias("n")), "doc_id")
+    t = D.numbered(read(spark, d, "documents").select("doc_id", F.least(F.col("n_chars"), F.lit(8000)).alias("n")), "doc_id")
     bins = P.packed_bins(t, "n", 8000)
     return bins.groupBy("batch").agg(F.count("*").alias("bins"), F.sum(F.size("lengths")).alias("rows"), F.max(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("fullest"))
 

@@ -149,3 +149,11 @@ def test_all_result_keys_are_sorted(spark, sf):
 
     got = [tuple(r) for r in catalog.queries()["srt01_sorted_keys"](spark, sf).collect()]
     assert got == sorted(got) and len(got) == steps(spark, sf).count() > 50
+
+
+def test_knapsacks_clip_at_the_capacity(spark, tmp_path):
+    from stepforge.plans import datasets
+
+    spark.createDataFrame([(0, 20_000), (1, 7000), (2, 1000)], "doc_id long, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = datasets.pck01_knapsacks(spark, str(tmp_path)).collect()
+    assert [(r.bins, r["rows"], r.fullest) for r in got] == [(2, 3, 8000)]
