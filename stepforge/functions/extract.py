@@ -155,10 +155,21 @@ def coalesced(columns: list[str], names: tuple[str, ...]) -> Column:
 
 
 def factor_check(code: Column, output: Column) -> Column:
-    """FN-21: whether printed prime powers multiply back to the factored number."""
-    n = first_group(code, r"factorint\s*\(\s*([0-9]+)\s*\)").try_cast("decimal(38,0)")
+    """FN-21: whether printed prime powers multiply back to the factored number, as exact
+    decimals; null where a pair can't be read or a product exceeds 38 digits."""
+    big = "decimal(38,0)"
+    integer = lambda c: F.when(c.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(c).try_cast(big))
+    n = first_group(code, r"factorint\s*\(\s*([0-9]+)\s*\)").try_cast(big)
     body = first_group(output, r"\{([^}]*)\}")
     pairs = F.transform(F.split(body, ","), lambda p: F.split(p, ":"))
-    power = lambda a, p: F.aggregate(F.sequence(F.lit(1), F.greatest(F.try_element_at(p, F.lit(2)).try_cast("int"), F.lit(1))), a, lambda s, _: (s * F.trim(F.try_element_at(p, F.lit(1))).try_cast("double")))
-    product = F.aggregate(pairs, F.lit(1.0), power)
-    return F.when(n.isNull() | body.isNull() | product.isNull(), F.lit(None).cast("string")).when(product == n.cast("double"), "PASS").otherwise("FAIL")
+    readable = F.forall(pairs, lambda p: (F.size(p) == 2) & F.coalesce(integer(F.get(p, F.lit(0))), integer(F.get(p, F.lit(1)))).isNotNull() & integer(F.get(p, F.lit(0))).isNotNull() & integer(F.get(p, F.lit(1))).isNotNull())
+
+    def product(sign: int) -> Column:
+        """Product of the powers whose exponent has this sign."""
+        powers = F.transform(pairs, lambda p: F.struct(integer(F.get(p, F.lit(0))).alias("base"), (sign * integer(F.get(p, F.lit(1)))).cast("int").alias("times")))
+        factors = F.flatten(F.transform(powers, lambda p: F.array_repeat(p.base, F.least(F.greatest(p.times, F.lit(0)), F.lit(200)))))
+        return F.aggregate(factors, F.lit(1).cast(big), lambda s, x: F.try_multiply(s, x).cast(big))
+
+    above, below = product(1), product(-1)
+    same = above == F.try_multiply(n, below)
+    return F.when(n.isNull() | ~readable | (below == 0) | same.isNull(), F.lit(None).cast("string")).when(same, "PASS").otherwise("FAIL")

@@ -65,54 +65,63 @@ def blocks(df: DataFrame, ids: str, size: int, position: str = "line_no", batch:
 
 
 def padding_free(rows: Column, limit: int) -> Column:
-    """PCK-03: samples (input_ids, labels, loss_weights) one after another up to ``limit``;
-    the first label and weight of all but the first are masked, positions start anew."""
-    start = F.struct(*(F.array().cast(f"array<{t}>").alias(n) for n, t in (("input_ids", "int"), ("labels", "int"), ("loss_weights", "double"), ("position_ids", "int"))))
-
-    def join(s, r):
-        room = F.greatest(F.lit(limit) - F.size(s.input_ids), F.lit(0))
-        later = F.size(s.input_ids) > 0
-        cut = lambda a: F.slice(a, F.lit(1), room)
-        masked = lambda a, m: F.when(later & (F.size(a) > 0), F.concat(F.array(m), F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))))).otherwise(a)
-        ids = cut(r.input_ids)
-        places = F.transform(ids, lambda _, i: i)
+    """PCK-03: samples (input_ids, labels, loss_weights), each cut at ``limit``, one after
+    another; positions start anew with each. The first label and weight of all but the
+    first sample (by its place) are masked; samples without ids add nothing."""
+    pieces = F.transform(
+        rows,
+        lambda r, i: F.struct(
+            F.slice(r.input_ids, F.lit(1), F.lit(limit)).alias("input_ids"),
+            _first_masked(F.slice(r.labels, F.lit(1), F.lit(limit)), i, F.lit(IGNORED)).alias("labels"),
+            _first_masked(F.slice(r.loss_weights, F.lit(1), F.lit(limit)), i, F.lit(0.0)).alias("loss_weights"),
+            F.transform(F.slice(r.input_ids, F.lit(1), F.lit(limit)), lambda _, k: k).alias("position_ids"),
+        ),
+    )
+    joined = lambda name: F.flatten(F.transform(pieces, lambda p: p[name])).alias(name)
+    return F.struct(*map(joined, ("input_ids", "labels", "loss_weights", "position_ids")))
+
+
+def _first_masked(values: Column, place: Column, mask: Column) -> Column:
+    return F.transform(values, lambda v, k: F.when((place > 0) & (k == 0), mask).otherwise(v))
+
+
+def _fold(lengths: Column, micro: int, limit: int, padded: bool, carried: Column | None) -> Column:
+    """Struct of the sizes of finished batches and the unfinished one: n, longest, total."""
+    budget = micro * limit
+    field = lambda k: carried[k] if carried is not None else F.lit(0)
+    start = F.struct(F.array().cast("array<int>").alias("sizes"), field("n").cast("int").alias("n"), field("longest").cast("long").alias("longest"), field("total").cast("long").alias("total"))
+
+    def step(s, x):
+        x = F.least(x.cast("long"), F.lit(limit).cast("long"))
+        over = (F.greatest(s.longest, x) * (s.n + 1) > budget) if padded else (s.total + x > budget)
+        over = over & (s.n > 0)
+        n = F.when(over, 1).otherwise(s.n + 1)
+        longest = F.when(over, x).otherwise(F.greatest(s.longest, x))
+        total = F.when(over, x).otherwise(s.total + x)
+        # Padded batches are done as soon as they reach the budget, others once a sample
+        # would exceed it.
+        done = (longest * n >= budget) if padded else F.lit(False)
+        none = F.array().cast("array<int>")
         return F.struct(
-            F.concat(s.input_ids, ids).alias("input_ids"),
-            F.concat(s.labels, masked(cut(r.labels), F.lit(IGNORED))).alias("labels"),
-            F.concat(s.loss_weights, masked(cut(r.loss_weights), F.lit(0.0))).alias("loss_weights"),
-            F.concat(s.position_ids, places).alias("position_ids"),
+            F.concat(s.sizes, F.when(over, F.array(s.n)).otherwise(none), F.when(done, F.array(n)).otherwise(none)).alias("sizes"),
+            F.when(done, 0).otherwise(n).alias("n"),
+            F.when(done, F.lit(0).cast("long")).otherwise(longest).alias("longest"),
+            F.when(done, F.lit(0).cast("long")).otherwise(total).alias("total"),
         )
 
-    return F.aggregate(rows, start, join)
+    return F.aggregate(lengths, start, step)
 
 
 def dynamic_batches(lengths: Column, micro: int, limit: int, padded: bool = True, carried: Column | None = None) -> Column:
     """BAT-02, BAT-03: sizes of successive batches under a token budget: ``micro`` times
     ``limit`` tokens, counted padded to the longest or as they are. ``carried`` is the
-    unfinished batch before these lengths, a struct of n, longest and total. The tail that
-    doesn't fill a batch is not emitted."""
-    budget = micro * limit
-    none = {"n": F.lit(0), "longest": F.lit(0), "total": F.lit(0)}
-    first = {k: carried[k] if carried is not None else v for k, v in none.items()}
-    start = F.struct(F.array().cast("array<int>").alias("sizes"), first["n"].cast("int").alias("n"), first["longest"].cast("long").alias("longest"), first["total"].cast("long").alias("total"))
-
-    def step(s, x):
-        x = F.least(x.cast("long"), F.lit(limit).cast("long"))
-        longest = F.greatest(s.longest, x)
-        cost = longest * (s.n + 1) if padded else s.total + x
-        full = (cost > budget) & (s.n > 0)
-        return F.struct(
-            F.when(full, F.concat(s.sizes, F.array(s.n))).otherwise(s.sizes).alias("sizes"),
-            F.when(full, 1).otherwise(s.n + 1).alias("n"),
-            F.when(full, x).otherwise(longest).alias("longest"),
-            F.when(full, x).otherwise(s.total + x).alias("total"),
-        )
-
-    return F.aggregate(lengths, start, step).sizes
+    unfinished batch before these lengths, a struct of n, longest and total. A padded batch
+    that reaches the budget is done; a tail that doesn't fill a batch is not emitted."""
+    return _fold(lengths, micro, limit, padded, carried).sizes
 
 
 def _carried_on(lengths: list[int], state: tuple[int, int, int], micro: int, limit: int, padded: bool) -> tuple[int, int, int]:
-    """The unfinished batch (n, longest, total) after further lengths."""
+    """The unfinished batch (n, longest, total) after further lengths, folded plainly."""
     n, longest, total = state
     budget = micro * limit
     for x in lengths:
@@ -121,28 +130,49 @@ def _carried_on(lengths: list[int], state: tuple[int, int, int], micro: int, lim
             n, longest, total = 1, x, x
         else:
             n, longest, total = n + 1, max(longest, x), total + x
+        if padded and longest * n >= budget:
+            n, longest, total = 0, 0, 0
     return n, longest, total
 
 
-def stream_batches(df: DataFrame, length: str, micro: int, limit: int, padded: bool = True, position: str = "line_no", batch: int = 1000) -> DataFrame:
-    """(batch, i, size): dynamic batches over all rows in line order, as one stream cut into
-    groups of ``batch`` lines; a batch belongs to the group that ends it and only the tail at
-    the end of the input is left out.
+def stream_batches(df: DataFrame, length: str, micro: int, limit: int, padded: bool = True, position: str = "line_no", batch: int = 1000, num_micro: int = 1) -> DataFrame:
+    """(batch, i, size) and, with ``num_micro`` above 1, step: dynamic batches over all rows
+    in line order, as one stream cut into groups of ``batch`` lines; a batch belongs to the
+    group that ends it and only the tail at the end of the input is left out. A step has
+    ``num_micro`` batches; an unfinished last step is left out too.
 
-    A batch that is unfinished at the end of a group is carried over. The driver folds the
-    lengths in order, a partition at a time, and keeps three numbers for each group."""
-    from stepforge.session import written
+    A batch that is unfinished at the end of a group is carried over to the next. All
+    groups are folded at once, each from what the fold before left of its predecessor, until
+    nothing changes: batches soon end at the same lines whatever was carried in, so a few
+    rounds do, each distributed; the result is that of one fold over all lines."""
+    from stepforge.operators.datasets import numbered
+    from stepforge.session import dropped, written
 
     spark = df.sparkSession
     lines = F.transform(F.array_sort(F.collect_list(F.struct(position, length))), lambda x: x[length])
-    t, _ = written(df.groupBy(F.floor(F.col(position) / batch).alias("batch")).agg(lines.alias("_ls")), "stream-groups")
-    state, states = (0, 0, 0), []
-    for r in t.orderBy("batch").toLocalIterator():
-        states.append((r["batch"], *state))
-        state = _carried_on(r["_ls"], state, micro, limit, padded)
-    carried = spark.createDataFrame(states, "batch long, n int, longest long, total long")
-    sizes = dynamic_batches(F.col("_ls"), micro, limit, padded, F.struct("n", "longest", "total"))
-    return t.join(carried, "batch").select("batch", F.posexplode(sizes).alias("i", "size"))
+    groups = numbered(df.groupBy(F.floor(F.col(position) / batch).alias("batch")).agg(lines.alias("_ls")), "batch", to="_g")
+    t, groups_path = written(groups, "stream-groups")
+    n_groups = t.count()
+    none = [F.lit(0).alias("n"), F.lit(0).cast("long").alias("longest"), F.lit(0).cast("long").alias("total")]
+    into, path = written(t.select("_g", *none), "carried")
+    while True:
+        left = t.join(into, "_g").select("_g", _fold(F.col("_ls"), micro, limit, padded, F.struct("n", "longest", "total")).alias("s"))
+        out = left.select((F.col("_g") + 1).alias("_g"), "s.n", "s.longest", "s.total").join(t.select("_g"), "_g", "left_semi")
+        first = t.where("_g = 0").select("_g", *none)
+        after, new = written(out.unionByName(first), "carried")
+        same = after.join(into.withColumnsRenamed({c: f"_{c}" for c in ("n", "longest", "total")}), "_g").where("n = _n AND longest = _longest AND total = _total").count()
+        dropped(spark, path)
+        into, path = after, new
+        if same == n_groups:
+            break
+    sizes = t.join(into, "_g").select("batch", F.posexplode(_fold(F.col("_ls"), micro, limit, padded, F.struct("n", "longest", "total")).sizes).alias("i", "size"))
+    out, _ = written(sizes, "stream-batches")
+    for p in (path, groups_path):
+        dropped(spark, p)
+    if num_micro == 1:
+        return out
+    steps = numbered(out, "batch", "i", to="_no").withColumn("step", F.floor(F.col("_no") / num_micro))
+    return steps.where(F.col("step") < out.count() // num_micro).drop("_no")
 
 
 def padded(values: Column, length: Column, fill) -> Column:

@@ -105,9 +105,18 @@ FN40 = "SELECT l_linenumber::VARCHAR AS pred, (l_linenumber * 2) || CASE WHEN l_
 
 
 def fn21_factor_check(spark, d):
-    code = F.concat(F.lit("factorint("), (F.lit(12) + F.col("l_linenumber") % 2).cast("string"), F.lit(")"))
-    t = read(spark, d, "lineitem").select(E.factor_check(code, F.lit("{2: 2, 3: 1}")).alias("verdict"))
-    return t.groupBy("verdict").agg(F.count("*").alias("n"))
+    """Powers of 2 and 3 with exponents from 0, some of them wrong, unreadable or too big
+    for doubles to tell apart."""
+    t = read(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 4).alias("a"), (F.col("l_suppkey") % 3).alias("b"))
+    n = F.expr("CAST(power(2, a) * power(3, b) AS BIGINT) + CASE WHEN l_orderkey % 5 = 0 THEN 1 ELSE 0 END")
+    huge = F.col("l_orderkey") % 7 == 0
+    code = F.concat(F.lit("x = factorint( "), F.when(huge, F.lit("9007199254740993")).otherwise(n.cast("string")), F.lit(" )"))
+    out = F.when(huge, F.concat(F.lit("{2: 53, 3: "), F.col("b").cast("string"), F.lit("}"))).when(F.col("l_orderkey") % 11 == 0, F.lit("{2: }")).otherwise(F.format_string("{2: %d, 3: %d}", "a", "b"))
+    return t.select("a", "b", E.factor_check(code, out).alias("verdict")).groupBy("a", "b", "verdict").agg(F.count("*").alias("n"))
+
+
+FN21 = """SELECT l_linenumber % 4 AS a, l_suppkey % 3 AS b, CASE WHEN l_orderkey % 7 = 0 THEN 'FAIL' WHEN l_orderkey % 11 = 0 THEN NULL
+ WHEN l_orderkey % 5 = 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, count(*) AS n FROM lineitem GROUP BY ALL"""
 
 
 QUERIES = {
@@ -116,7 +125,7 @@ QUERIES = {
     "fn13_value_kinds": (fn13_value_kinds, FN13),
     "fn14_last_values": (fn14_last_values, FN14),
     "fn18_parsed_steps": (fn18_parsed_steps, FN18),
-    "fn21_factor_check": (fn21_factor_check, "SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict, count(*) AS n FROM lineitem GROUP BY 1"),
+    "fn21_factor_check": (fn21_factor_check, FN21),
     "fn40_equal_answers": (fn40_equal_answers, FN40),
     "flt06_spoilers": (flt06_spoilers, FLT06),
     "prj02_problem_fields": (prj02_problem_fields, PRJ02),

@@ -81,8 +81,15 @@ def test_packing(spark):
     ls = F.array(*map(F.lit, [3, 4, 6, 2, 8, 9]))
     assert one(spark, P.dynamic_batches(ls, 2, 10))[0] == 3 and one(spark, P.dynamic_batches(F.array(F.lit(6)), 2, 10)) == []
     row = lambda i, n: F.struct(F.array(*map(F.lit, i)).alias("input_ids"), F.array(*map(F.lit, n)).alias("labels"), F.array(*[F.lit(1.0)] * len(i)).alias("loss_weights"))
-    got = one(spark, P.padding_free(F.array(row([0, 1], [0, 1]), row([10, 11, 12, 13], [10, 11, 12, 13])), 5))
+    got = one(spark, P.padding_free(F.array(row([0, 1], [0, 1]), row([10, 11, 12, 13], [10, 11, 12, 13])), 3))
     assert (got.input_ids, got.position_ids, got.labels, got.loss_weights) == ([0, 1, 10, 11, 12], [0, 1, 0, 1, 2], [0, 1, -100, 11, 12], [1.0, 1.0, 0.0, 1.0, 1.0])
+    got = one(spark, P.padding_free(F.array(row([], []), row([7, 8], [7, 8]), row([9], [9])), 3))
+    assert (got.input_ids, got.position_ids, got.labels, got.loss_weights) == ([7, 8, 9], [0, 1, 0], [-100, 8, -100], [0.0, 1.0, 0.0])
+    for lengths, want in (([10, 10], [2]), ([20], []), ([20, 20], [2]), ([6] * 4, [3]), ([6] * 3, []), ([10, 10, 1], [2]), ([5] * 9, [4, 4])):
+        assert one(spark, P.dynamic_batches(F.array(*map(F.lit, lengths)), 2, 10)) == want
+    # Free of padding, a batch ends only when the next sample would exceed the budget.
+    for lengths, want in (([10, 10], []), ([10, 10, 1], [2]), ([6, 6, 6, 6], [3])):
+        assert one(spark, P.dynamic_batches(F.array(*map(F.lit, lengths)), 2, 10, False)) == want
     mask = one(spark, P.causal_mask(F.array(*map(F.lit, [1, 1, 2, 2, 2, 0]))))
     assert mask[1] == [1, 1, 0, 0, 0, 0] and mask[4] == [0, 0, 1, 1, 1, 0] and mask[5] == [0] * 6
 
@@ -126,10 +133,15 @@ def test_stream_batches(spark, padded):
             want.append(size)
             size, longest, total = 0, 0, 0
         size, longest, total = size + 1, max(longest, x), total + x
+        if padded and longest * size >= 40:
+            want.append(size)
+            size, longest, total = 0, 0, 0
     # Groups of 10 lines, and of 2, which many batches reach over.
     for batch in (10, 2):
         got = P.stream_batches(rows, "n", 2, 20, padded, batch=batch).orderBy("batch", "i").collect()
         assert [r["size"] for r in got] == want and sum(want) == len(lengths) - size
+    steps = P.stream_batches(rows, "n", 2, 20, padded, batch=10, num_micro=3).orderBy("batch", "i").collect()
+    assert [(r.step, r["size"]) for r in steps] == [(i // 3, n) for i, n in enumerate(want[: len(want) // 3 * 3])]
     assert P.stream_batches(rows.limit(0), "n", 2, 20, padded).count() == 0
 
 
