@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stepforge.session import dropped, scratch, ship, shared_dir, written
 
-__all__ = ["dropped", "scratch", "ship", "shared_dir", "written", "table", "tokenizer_path", "mapped", "texts", "extended"]
+__all__ = ["dropped", "scratch", "ship", "shared_dir", "written", "table", "tokenizer_path", "mapped", "texts", "extended", "salts", "facts_of"]
 
 #: Rows in an Arrow batch: whole texts are long, so batches are short.
 BATCH_ROWS = 1000
@@ -43,3 +44,20 @@ def texts(column: pa.Array) -> list[str]:
 def extended(df: DataFrame, more: str) -> StructType:
     """The schema of ``df`` and further columns, in DDL."""
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
+def salts(df: DataFrame, rows: int) -> int:
+    """How many parts a group that has all rows of ``df`` is cut into: ``rows`` in each,
+    and so many that a hot group doesn't stand out on a small cluster either."""
+    return max(64, -(-df.count() // rows))
+
+
+def facts_of(rows: DataFrame, keys: list[str], salt: str = "salt", **facts: str) -> DataFrame:
+    """(keys, salt, facts): aggregates of groups by ``keys``, a row for each salt that a
+    group has, so that rows can be joined with them by keys and salt and no group, however
+    large, meets in one task. ``facts`` are ``min``, ``max``, ``sum`` or ``count`` of an
+    expression; they are aggregated by salt first and then merged."""
+    parts = rows.groupBy(*keys, salt).agg(*(F.expr(e).alias(f"_{n}") for n, e in facts.items()))
+    merge = {n: "sum" if (kind := e.partition("(")[0].strip()) == "count" else kind for n, e in facts.items()}
+    whole = parts.groupBy(*keys).agg(*(F.expr(f"{m}(_{n})").alias(n) for n, m in merge.items()))
+    return parts.select(*keys, salt).join(whole, keys)

@@ -1,25 +1,35 @@
 """WARC archives as a PySpark data source, reader and writer.
 
-Reader: files are listed on the driver and dealt out as partitions of about equal bytes;
-equality and ``IN`` filters on ``record_type`` and header columns are pushed down; of a
-record the header is parsed first, and the block of a record that a predicate rejects is
-passed over undecoded. With option ``payload=false`` no payload is decoded at all.
-Writer: tasks write records, each gzip member by itself, to files under temporary names
-that the driver renames at commit, so that retried tasks leave no half archives.
+Writer: tasks write records, each gzip member by itself, and note where records begin. The
+driver's commit publishes one manifest with the files of the successful tasks, their sizes
+and those places; nothing is renamed. A file that no manifest names is one of a lost,
+retried or speculative attempt and is never read, whole or truncated.
+Reader: where there are manifests, exactly their files are read; in a folder of foreign
+archives all ``*.warc`` and ``*.warc.gz`` whose names begin with neither ``_`` nor ``.``.
+Files are dealt out as partitions of about equal bytes; a large one is split where records
+begin, foreign ones once ``indexed`` has written a manifest for them. Equality and ``IN``
+filters on ``record_type`` and header columns are pushed down; of a record the header is
+parsed first, and the block of a record that a predicate rejects is passed over undecoded.
+With option ``payload=false`` no payload is decoded at all.
 
 ``record_type`` is response or revisit. A revisit has the HTTP header of its response
 but no payload; its ``Content-Length`` there still tells the payload's length.
 
+Rows learn the first id of their payload by digest and salt, so that a payload of very
+many rows (empty pages) is spread over tasks; what is grouped has ids and digests only.
+
 Defined results: a null payload is an empty one; null URLs are left out of the header;
 records of equal payloads revisit that with the smallest id; rows that repeat that very
-id are responses too; a null id is written without number and comes last; an empty table
-gives an empty archive; other columns are ignored.
+id are responses too; a null id is written without number and revisits a numbered one; very
+long payloads are written and read whole, one at a time; an empty table gives an empty
+archive; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from stepforge.llm.common import scratch, ship, table
+from stepforge.llm.common import dropped, facts_of, salts, scratch, ship, table, written
 
 SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, payload_digest string, refers_to string, payload_length long, payload binary"
 #: Header fields of the columns that can be told from a record's header alone.
@@ -39,7 +49,12 @@ FIELDS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPLIT_BYTES = 32 << 20
 ROLL_BYTES = 64 << 20
+#: Bytes between the places of a file that a partition may begin at.
+MARK_BYTES = 4 << 20
 READ_BYTES = 1 << 18
+#: Rows of a payload that one task gets.
+SALT_ROWS = 1_000_000
+MANIFEST = "_manifest-"
 #: The alphabet of base32.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -67,20 +82,29 @@ def record(kind: str, record_id: str, payload: bytes, length: int, digest: str,
 
 
 class Stream:
-    """Bytes of a file, gzip members joined, of which parts can be skipped."""
+    """Bytes of a file from a place on, gzip members joined, of which parts can be skipped."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, start: int = 0):
         fs, name = opened(path)
-        self.file = fs.open_input_stream(name, compression=None)
+        self.file, self.at = fs.open_input_file(name), start
+        if start:
+            self.file.seek(start)
         self.buffer, self.zipped, self.inflate, self.rest = bytearray(), name.endswith(".gz"), None, b""
 
+    def pulled(self) -> bytes:
+        data = self.file.read(READ_BYTES)
+        self.at += len(data)
+        return data
+
     def more(self) -> bool:
         if not self.zipped:
-            data = self.file.read(READ_BYTES)
+            data = self.pulled()
             self.buffer += data
             return bool(data)
-        data, self.rest = self.rest or self.file.read(READ_BYTES), b""
+        data, self.rest = self.rest or self.pulled(), b""
         if not data:
+            if self.inflate is not None:
+                raise EOFError("a gzip member is cut off")
             return False
         if self.inflate is None:
             self.inflate = zlib.decompressobj(31)
@@ -89,6 +113,14 @@ class Stream:
             self.rest, self.inflate = self.inflate.unused_data, None
         return True
 
+    def place(self) -> int | None:
+        """Where in the file reading could begin anew; none inside of a gzip member."""
+        if not self.zipped:
+            return self.at - len(self.buffer)
+        while not self.buffer and self.inflate is not None and self.more():
+            pass
+        return None if self.buffer or self.inflate is not None else self.at - len(self.rest)
+
     def until(self, mark: bytes) -> bytes | None:
         at = 0
         while (found := self.buffer.find(mark, at)) < 0:
@@ -116,10 +148,13 @@ class Stream:
                 raise EOFError("a record ends before its length")
 
 
-def records(path: str, wanted, payload: bool = True) -> Iterator[dict]:
-    """Rows of one file of which ``wanted(header columns)`` holds."""
-    stream = Stream(path)
-    while (head := stream.until(b"\r\n\r\n")) is not None:
+def records(path: str, wanted, payload: bool = True, start: int = 0, end: int | None = None) -> Iterator[dict]:
+    """Rows of one file, or of its records that begin from ``start`` to ``end``, of which
+    ``wanted(header columns)`` holds."""
+    stream = Stream(path, start)
+    while end is None or (at := stream.place()) is None or at < end:
+        if (head := stream.until(b"\r\n\r\n")) is None:
+            return
         lines = head.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
         fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
         row = {c: fields.get(f.lower()) for c, f in FIELDS.items()}
@@ -144,10 +179,55 @@ def records(path: str, wanted, payload: bool = True) -> Iterator[dict]:
         yield row
 
 
+def marks(path: str) -> tuple[int, list[int]]:
+    """Size of a file and the places, ``MARK_BYTES`` apart or more, where reading can begin."""
+    stream, found = Stream(path), [0]
+    while (head := stream.until(b"\r\n\r\n")) is not None:
+        fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n"))}
+        stream.skip(int(fields["content-length"]) + 4)
+        if (at := stream.place()) is not None and at - found[-1] >= MARK_BYTES:
+            found.append(at)
+    return stream.at, [m for m in found if m < stream.at] or [0]
+
+
+def published(path: str, files: list[tuple[str, int, list[int]]]) -> None:
+    """Write a manifest: its name stands only once all of it is there."""
+    system, name = opened(path)
+    system.create_dir(name, recursive=True)
+    end = f"{uuid.uuid4().hex}.json"
+    with system.open_output_stream(f"{name}/_temporary-{end}") as out:
+        for f in files:
+            out.write((json.dumps(f) + "\n").encode())
+    system.move(f"{name}/_temporary-{end}", f"{name}/{MANIFEST}{end}")
+
+
+def listed(path: str) -> list[tuple[str, int, list[int]]]:
+    """(name, size, places to begin at) of the archives of a folder, or of one file."""
+    from pyarrow import fs
+
+    system, name = opened(path)
+    top = system.get_file_info(name)
+    if top.type == fs.FileType.File:
+        return [(name, top.size, [0])]
+    found = [f for f in system.get_file_info(fs.FileSelector(name, recursive=True, allow_not_found=True)) if f.is_file]
+    manifests = [f for f in found if f.base_name.startswith(MANIFEST)]
+    out = []
+    for f in manifests:
+        with system.open_input_stream(f.path) as lines:
+            for line in lines.read().decode().splitlines():
+                own, size, at = json.loads(line)
+                out.append((f"{f.path.rpartition('/')[0]}/{own}", size, at))
+    if not manifests:
+        out = [(f.path, f.size, [0]) for f in found if f.path.endswith((".warc", ".warc.gz")) and not f.base_name.startswith(("_", "."))]
+    return sorted(out)
+
+
 class Files(InputPartition):
-    def __init__(self, paths: list[str]):
+    """Pieces of files: (path, start, end)."""
+
+    def __init__(self, pieces: list[tuple[str, int, int | None]]):
         super().__init__(0)
-        self.paths = paths
+        self.pieces = pieces
 
 
 class WarcReader(DataSourceReader):
@@ -164,19 +244,25 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Files]:
-        from pyarrow import fs
-
-        system, name = opened(self.path)
-        top = system.get_file_info(name)
-        found = [top] if top.type == fs.FileType.File else system.get_file_info(fs.FileSelector(name, recursive=True, allow_not_found=True))
-        scheme = self.path[: self.path.index("://") + 3] if "://" in self.path else "file://" if self.path.startswith("file:") else ""
+        scheme = f"{self.path.partition('://')[0]}://" if "://" in self.path else "file://" if self.path.startswith("file:") else ""
         out, held = [], 0
-        for f in sorted((f for f in found if f.is_file and f.path.endswith((".warc", ".warc.gz"))), key=lambda f: f.path):
-            if not out or held + f.size > self.split:
-                out.append(Files([]))
-                held = 0
-            out[-1].paths.append(scheme + f.path if scheme == "file://" or not scheme else self.path.partition("://")[0] + "://" + f.path.lstrip("/"))
-            held += f.size
+        for name, size, at in listed(self.path):
+            name = scheme + (name if scheme in ("", "file://") else name.lstrip("/"))
+            start = 0
+            while start < size or not start:
+                # The last place within what the partition still has room for; the next
+                # one where there is none.
+                room = self.split - held if out else self.split
+                ends = [m for m in at if start < m]
+                end = next((m for m in reversed(ends) if m - start <= room), ends[0] if ends else size) if size - start > room else size
+                if not out or held and held + end - start > self.split:
+                    out.append(Files([]))
+                    held = 0
+                out[-1].pieces.append((name, start, end if end < size else None))
+                held += end - start
+                if end >= size:
+                    break
+                start = end
         return out or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
@@ -187,8 +273,8 @@ class WarcReader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types[n]) for n in self.names], names=self.names)
 
         rows, held = [], 0
-        for path in partition.paths:
-            for row in records(path, wanted, self.payload):
+        for path, start, end in partition.pieces:
+            for row in records(path, wanted, self.payload, start, end):
                 rows.append(row)
                 held += len(row["payload"] or b"")
                 if len(rows) == 1000 or held > 16 << 20:
@@ -199,7 +285,7 @@ class WarcReader(DataSourceReader):
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, str]]):
+    def __init__(self, files: list[tuple[str, int, list[int]]]):
         self.files = files
 
 
@@ -210,45 +296,60 @@ class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path, self.date = options["path"].rstrip("/"), options.get("date", "1970-01-01T00:00:00Z")
         self.zipped = options.get("compress", "true").lower() != "false"
+        self.roll = int(options.get("roll_bytes", ROLL_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, name = opened(self.path)
         system.create_dir(name, recursive=True)
-        files, out, size = [], None, 0
-        for b in iterator:
-            for r in b.to_pylist():
-                if out is None or size > ROLL_BYTES:
-                    if out:
-                        out.close()
-                    end = f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.zipped
-                    files.append((f"{name}/_{end}", f"{name}/{end}"))
-                    out, size = system.open_output_stream(files[-1][0], compression=None), 0
-                data = record(r["record_type"], r["record_id"], r["payload"] or b"", r["payload_length"], r["payload_digest"], r["target_uri"], r["refers_to"], self.date)
-                if self.zipped:
-                    pack = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    data = pack.compress(data) + pack.flush()
-                out.write(data)
-                size += len(data)
-        if out:
-            out.close()
-        return Written(files)
+        files: list[list] = []
+        out = None
+        try:
+            for b in iterator:
+                # Row by row, so that one long payload at a time is copied.
+                for i in range(b.num_rows):
+                    r = b.slice(i, 1).to_pylist()[0]
+                    if out is None or files[-1][1] > self.roll:
+                        if out:
+                            out.close()
+                        files.append([f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.zipped, 0, [0]])
+                        out = system.open_output_stream(f"{name}/{files[-1][0]}", compression=None)
+                    now = files[-1]
+                    if now[1] - now[2][-1] >= MARK_BYTES:
+                        now[2].append(now[1])
+                    data = record(r["record_type"], r["record_id"], r["payload"] or b"", r["payload_length"], r["payload_digest"], r["target_uri"], r["refers_to"], self.date)
+                    if self.zipped:
+                        pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+                        data = pack.compress(data) + pack.flush()
+                    out.write(data)
+                    now[1] += len(data)
+            if out:
+                out.close()
+        except BaseException:
+            # What a killed process leaves behind no manifest names.
+            if out:
+                out.close()
+            self.removed(system, name, files)
+            raise
+        return Written([tuple(f) for f in files])
+
+    def removed(self, system, name: str, files) -> None:
+        for f in files:
+            try:
+                system.delete_file(f"{name}/{f[0]}")
+            except FileNotFoundError:
+                continue
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, name = opened(self.path)
-        system.create_dir(name, recursive=True)
-        for m in messages:
-            for old, new in m.files if m else []:
-                system.move(old, new)
+        published(self.path, [f for m in messages if m for f in m.files])
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, _ = opened(self.path)
+        system, name = opened(self.path)
         for m in messages:
-            for old, _ in m.files if m else []:
-                system.delete_file(old)
+            self.removed(system, name, m.files if m else [])
 
 
 class WarcDataSource(DataSource):
-    """Format ``warc``: options path, payload, split_bytes; date, compress."""
+    """Format ``warc``: options path, payload, split_bytes; date, compress, roll_bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -284,11 +385,10 @@ def archived(df: DataFrame, folder: str, key: str = "page_id", uri: str | None =
     register(spark)
     body = F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary")
     rows = df.select(F.col(key).cast("long").alias("k"), (F.col(uri).cast("string") if uri else F.lit(None).cast("string")).alias("target_uri"), body.alias("body"))
-    rows = rows.withColumn("sha1", F.sha1("body"))
-    first = rows.where(F.octet_length("body") >= least).groupBy("sha1").agg(F.min("k").alias("first"))
-    # Two rows of every group need not meet: the smaller side has one row for each payload.
-    joined = rows.join(first, "sha1", "left")
-    again = F.coalesce(F.col("first") != F.coalesce(F.col("k"), F.lit(-1)), F.lit(False))
+    rows = rows.withColumn("sha1", F.sha1("body")).withColumn("salt", F.pmod(F.xxhash64("k", "target_uri"), F.lit(salts(df, SALT_ROWS))))
+    first = facts_of(rows.where(F.octet_length("body") >= least), ["sha1"], first="min(k)")
+    joined = rows.join(first, ["sha1", "salt"], "left")
+    again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("k"))
     name = lambda c: F.concat(F.lit(prefix), F.coalesce(c.cast("string"), F.lit("")))
     out = joined.select(
         name(F.col("k")).alias("record_id"),
@@ -308,18 +408,43 @@ def archive(spark, folder: str, **options) -> DataFrame:
     return spark.read.format("warc").options(path=folder, **options).load()
 
 
+def indexed(spark, folder: str, least: int = SPLIT_BYTES) -> None:
+    """Write a manifest for a folder of foreign archives, so that large ones are split where
+    their records begin. Each file of more than ``least`` bytes is passed over once, as a
+    task of its own."""
+    register(spark)
+    files = listed(folder)
+    top = opened(folder)[1].rstrip("/")
+    prefix = folder[: len(folder.rstrip("/")) - len(top)] if folder.rstrip("/").endswith(top) else ""
+    large = [f[0] for f in files if f[1] > least]
+    found = {name: [name, size, [0]] for name, size, _ in files}
+
+    def run(batches):
+        for b in batches:
+            rows = [(n, *marks(prefix + n)) for n in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["name", "size", "at"])
+
+    if large:
+        rows = spark.createDataFrame([(n,) for n in large], "name string").repartition(len(large)).mapInArrow(run, "name string, size long, at array<long>")
+        found |= {r.name: list(r) for r in rows.toLocalIterator()}
+    published(folder, [(name[len(top) :].lstrip("/"), size, list(at)) for name, size, at in found.values()])
+
+
 def op2_warc(spark, sf_dir: str) -> DataFrame:
-    """Archive every page and read the archives back."""
+    """Archive every page and read the archives back; they go once they are read."""
     folder = scratch(spark, "warc")
     archived(table(spark, sf_dir, "pages"), folder)
     number = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) AS bigint)")
-    return archive(spark, folder).select(
+    back = archive(spark, folder).select(
         number("record_id").alias("page_id"),
         F.col("payload_length").alias("payload_bytes"),
         F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
         "record_type",
         number("refers_to").alias("refers_to"),
     )
+    found, _ = written(back, "warc-rows")
+    dropped(spark, folder)
+    return found
 
 
 _DIGITS = " || ".join(f"substr('{BASE32}', 1 + (((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT) >> {s}) & 31)::INT, 1)" for i in range(8) for s in (15, 10, 5, 0))

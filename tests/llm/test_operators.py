@@ -159,6 +159,84 @@ def test_warc_pushdown_and_odd(spark, compress):
     assert warc.archive(spark, again).count() == 6
 
 
+def archived_lengths(spark, folder, n, **options):
+    rows = [(i, "u", f"{i} " + "".join(chr(97 + (i * k) % 26) for k in range(4000 + i))) for i in range(n)]
+    t = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.register(spark)
+    out = t.select(F.concat(F.lit("urn:x:"), "page_id").alias("record_id"), F.lit("response").alias("record_type"), F.col("url").alias("target_uri"), F.lit(None).cast("string").alias("warc_date"), warc.base32_of_hex(F.sha1("html")).alias("payload_digest"), F.lit(None).cast("string").alias("refers_to"), F.octet_length("html").cast("long").alias("payload_length"), F.col("html").cast("binary").alias("payload"))
+    writer = out.write.format("warc").mode("append").option("path", folder)
+    for k, v in options.items():
+        writer = writer.option(k, v)
+    writer.save()
+    return [r[2] for r in rows]
+
+
+def test_warc_orphans_of_lost_tasks(spark, tmp_path):
+    folder = f"{tmp_path}/w"
+    want = archived_lengths(spark, folder, 20)
+    files = [f for f in (tmp_path / "w").iterdir() if f.name.startswith("part-")]
+    whole = files[0].read_bytes()
+    # A killed attempt: a whole copy, a truncated one, and a manifest that was not finished.
+    (tmp_path / "w" / "part-0orphan.warc.gz").write_bytes(whole)
+    (tmp_path / "w" / "part-1orphan.warc.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "w" / "_temporary-x.json").write_text('["part-0orph')
+    assert sorted(bytes(r.payload).decode() for r in warc.archive(spark, folder).collect()) == sorted(want)
+    # A writer that fails removes its files; the job's abort and the reader need none of them.
+    writer = warc.WarcWriter({"path": folder})
+
+    def broken():
+        yield from (b for b in [warc.pa.RecordBatch.from_pylist([{"record_type": "response", "record_id": "urn:x:1", "payload": b"a", "payload_length": 1, "payload_digest": "A", "target_uri": None, "refers_to": None}])])
+        raise RuntimeError("lost")
+
+    before = set((tmp_path / "w").iterdir())
+    with pytest.raises(RuntimeError):
+        writer.write(broken())
+    assert set((tmp_path / "w").iterdir()) == before
+    # Foreign folders have no manifest: hidden names are passed over there.
+    foreign = tmp_path / "f"
+    foreign.mkdir()
+    (foreign / "a.warc.gz").write_bytes(whole)
+    (foreign / "_part-x.warc.gz").write_bytes(whole)
+    (foreign / ".b.warc.gz").write_bytes(whole)
+    assert warc.archive(spark, str(foreign)).count() == len(want)
+
+
+@pytest.mark.parametrize("compress", ["true", "false"])
+def test_warc_large_archive_is_split(spark, tmp_path, monkeypatch, compress):
+    folder = f"{tmp_path}/w"
+    want = archived_lengths(spark, folder, 60, compress=compress)
+    (file,) = [f for f in (tmp_path / "w").iterdir() if f.name.startswith("part-")]
+    for m in (tmp_path / "w").glob("_manifest-*"):
+        m.unlink()
+    monkeypatch.setattr(warc, "MARK_BYTES", 1)
+    size, at = warc.marks(str(file))
+    assert size == file.stat().st_size and len(at) == 60
+    warc.published(folder, [(file.name, size, at)])
+    reader = warc.WarcReader({"path": folder, "split_bytes": str(size // 7)}, warc.archive(spark, folder).schema)
+    parts = reader.partitions()
+    assert 6 <= len(parts) <= 12
+    got = [bytes(p).decode() for part in parts for b in reader.read(part) for p in b.column("payload").to_pylist()]
+    assert got == want
+    # The same by way of the index of foreign archives.
+    for m in (tmp_path / "w").glob("_manifest-*"):
+        m.unlink()
+    monkeypatch.undo()
+    warc.indexed(spark, folder, least=1)
+    t = warc.archive(spark, folder, split_bytes=str(size // 4))
+    assert sorted(bytes(r.payload).decode() for r in t.collect()) == sorted(want)
+
+
+def test_warc_filters_reach_the_source(spark, tmp_path):
+    folder = f"{tmp_path}/w"
+    rows = [(1, "u", "a"), (2, "u", "a"), (-1, "u", "b"), (None, "u", "b"), (None, "u", "c"), (None, "v", "c")]
+    warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    t = warc.archive(spark, folder).where("record_type = 'revisit' AND target_uri IN ('u', 'w')")
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert "revisit" not in plan.partition("BatchScan")[0]
+    assert sorted(r.refers_to for r in t.collect()) == ["urn:stepforge:page:-1", "urn:stepforge:page:1"]
+    assert warc.archive(spark, folder).where("record_type = 'response'").count() == 4
+
+
 # ------------------------------------------------------------------ 3 mixing
 def test_mix_deviation(spark):
     weights = {"a": 0.5, "b": 0.3, "c": 0.15, mixing.OTHER: 0.05}
