@@ -37,7 +37,9 @@ KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-#: Candidates of the token-efficiency test.
+#: Candidates of the token-efficiency test: runs of ``MIN_RUN`` key characters or more.
+#: Shorter ones have too few tokens for their ratio to tell words from random strings, so
+#: the method doesn't look at them; the base has its own least lengths.
 KEY_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MIN_RUN = 20
 CHARS_PER_TOKEN = 2.2
