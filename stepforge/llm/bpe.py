@@ -4,7 +4,9 @@ A word is held as an array of its parts, one for each boundary, and in parallel
 rank of every pair of neighbouring parts. The least rank is looked for again and again
 (leftmost on ties), its inner boundary is deleted and only the two neighbouring ranks are
 looked up anew. Words are short, so this beats a heap; all new words of a batch step
-together as the rows of a matrix.
+together as the rows of a matrix. A word of more than ``LONG`` bytes (a text without white
+space or punctuation) would make that quadratic: over the same array of parts a heap then
+finds the least rank, and boundaries are deleted by links to the neighbours.
 
 ``Vocabulary`` reads a ``tokenizers`` JSON file of the kind "BPE with word ends, lower
 case, white space dropped" and gives the same ids as that library. White space always
@@ -21,6 +23,7 @@ from __future__ import annotations
 import array
 import functools
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -34,8 +37,9 @@ from stepforge.llm.common import extended, mapped, texts, tokenizer_path
 
 #: Remembered chunks of a worker process; beyond, it starts anew.
 MEMORY = 600_000
-#: Elements of a matrix of words that are merged together.
-MATRIX = 1 << 20
+#: Elements of a matrix of words that are merged together; bytes of a word beyond which a
+#: heap finds its least ranks; characters of a chunk beyond which it isn't remembered.
+MATRIX, LONG, REMEMBERED = 1 << 20, 512, 1000
 NO_MERGE = (1 << 31) - 1
 
 #: Characters with the Unicode property White_Space, as a regex class.
@@ -65,6 +69,10 @@ class Ranks:
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         return np.where((self.keys[at] == wanted) & (right >= 0), self.ranks[at], NO_MERGE)
 
+    @functools.cache  # noqa: B019 - one for each vocabulary of a worker, made at the first long word
+    def pairs(self) -> dict[tuple[int, int], int]:
+        return {(k >> 32, k & 0xFFFFFFFF): r for k, r in zip(self.keys.tolist(), self.ranks.tolist(), strict=True)}
+
 
 def merged(parts: np.ndarray, ranks: Ranks) -> np.ndarray:
     """Merge neighbouring parts of short words until no pair of them has a rank.
@@ -102,6 +110,29 @@ def merged(parts: np.ndarray, ranks: Ranks) -> np.ndarray:
     return parts
 
 
+def merged_long(parts: list[int], ranks: Ranks) -> list[int]:
+    """The same for one long word: n log n. Equal ranks go from left to right; an entry of
+    the heap counts only while its pair still stands as it was."""
+    known = ranks.pairs()
+    n = len(parts)
+    after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+    heap = [(rank, i, parts[i], parts[i + 1]) for i in range(n - 1) if (rank := known.get((parts[i], parts[i + 1]))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, i, a, b = heapq.heappop(heap)
+        j = after[i]
+        if j < 0 or parts[i] != a or parts[j] != b:
+            continue
+        parts[i], parts[j] = int(ranks.made[rank]), -1
+        after[i] = after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+        for k in (before[i], i):
+            if k >= 0 and after[k] >= 0 and (new := known.get((parts[k], parts[after[k]]))) is not None:
+                heapq.heappush(heap, (new, k, parts[k], parts[after[k]]))
+    return [p for p in parts if p >= 0]
+
+
 class Vocabulary:
     """Ids of texts and texts of ids, as the ``tokenizers`` library has them."""
 
@@ -150,7 +181,11 @@ class Vocabulary:
         out: list[bytes] = [b""] * len(words)
         lengths = np.array([len(w) for w in words], np.int64)
         order = np.argsort(lengths, kind="stable")
-        bounds = np.searchsorted(lengths[order], [0, 5, 9, 13, 17, 25, 33, 1 << 40])
+        bounds = np.searchsorted(lengths[order], [0, 5, 9, 13, 17, 25, 33, LONG + 1])
+        for k in order[bounds[-1] :].tolist():
+            parts = self.inner[np.frombuffer(words[k], np.uint8)]
+            parts[-1] = self.last[words[k][-1]]
+            out[k] = np.array(merged_long(parts.tolist(), self.ranks), np.int32).astype(self.width).tobytes()
         for a, b in zip(bounds, bounds[1:], strict=False):
             step = max(1, MATRIX // max(1, int(lengths[order[b - 1]]))) if b > a else 1
             for c in range(a, b, step):
@@ -197,6 +232,7 @@ class Memory:
         self.code = "H" if vocabulary.width == "<u2" else "I"
         self.chunks: dict[str, bytes] = {}
         self.words: dict[bytes, bytes] = {}
+        self.encode_words = vocabulary.encode_words
 
     def learn(self, chunks: set[str]) -> None:
         v = self.vocabulary
@@ -206,7 +242,7 @@ class Memory:
             self.words.clear()
         pieces = {c: v.pieces(c) for c in chunks - self.chunks.keys()}
         new = list({p for ps in pieces.values() for p in ps if type(p) is bytes} - self.words.keys())
-        self.words.update(zip(new, v.encode_words(new), strict=True))
+        self.words.update(zip(new, self.encode_words(new), strict=True))
         for c, ps in pieces.items():
             self.chunks[c] = self.words[ps[0]] if len(ps) == 1 and type(ps[0]) is bytes else b"".join([self.words[p] if type(p) is bytes else array.array(self.code, [p]).tobytes() for p in ps])
 
@@ -218,7 +254,12 @@ class Memory:
         if len(self.chunks) > MEMORY or not seen <= self.chunks.keys():
             self.learn(seen)
         get = self.chunks.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in cut]
+        out = [b"".join(map(get, chunks)) for chunks in cut]
+        for c in seen:
+            if len(c) > REMEMBERED:
+                del self.chunks[c]
+                self.words.clear()
+        return out
 
     def encode(self, text: str) -> list[int]:
         return array.array(self.code, self.packed([text])[0]).tolist()
