@@ -5,19 +5,27 @@ after another as little-endian integers of 2 or 4 bytes; the Elias-Fano coded do
 boundaries (one more than documents); the Elias-Fano coded document ids, less the
 smallest; a footer. Documents ascend by id, over all shards as in each.
 
-``write_shards`` encodes first, so that packed ids and not texts are dealt out; shards
-are ranges of document ids cut at approximate quantiles, written row by row, so that
-memory doesn't follow a shard's ids. A retried task writes a file of another name; only
-the names in the returned manifest count.
+Words are encoded by the ``tokenizers`` library. As the vocabulary always separates words
+where white space or punctuation is, the ids of a word don't depend on its neighbours: a
+worker gives the library each word that it has not met before and remembers the answer.
+
+``write_shards`` encodes first, so that packed ids and not texts are dealt out; tasks are
+ranges of document ids cut at approximate quantiles, as many as ``docs_per_shard`` asks for,
+and a task begins a new file once one has ``ids_per_file`` ids, so neither tasks nor files
+grow with the data. An id that by itself has more rows than a shard is dealt out over
+several by the hash of its packed ids. Files are written row by row. A retried task writes a
+file of another name; only the names in the returned manifest count.
 
 Defined results: null and empty texts have the end id alone; a null document id stands
 before all others and is read back as null; rows that repeat a document id stay separate
-documents, ordered by their packed ids; an empty table gives no shards; other columns
-are ignored.
+documents, ordered by the hash of their packed ids, then by these; very long texts are whole;
+an empty table gives no shards; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import array
+import functools
 import struct
 import uuid
 import zlib
@@ -28,18 +36,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepforge.llm.bpe import memory
-from stepforge.llm.common import mapped, scratch, table, texts, tokenizer_path, written
+from stepforge.llm.bpe import Memory, Vocabulary
+from stepforge.llm.common import dropped, mapped, scratch, table, texts, tokenizer_path, written
 from stepforge.llm.eliasfano import EliasFano
 
 MAGIC = b"STPFTOK1"
 #: Bytes per id, documents with and without id, ids, first id; bytes of the two codes.
 FOOTER = struct.Struct("<BQQQqQQ")
-DOCS_PER_SHARD = 16_384
-MAX_SHARDS = 4096
+DOCS_PER_SHARD, IDS_PER_FILE = 16_384, 1 << 28
 END_ID = 2
 
 
+class LibraryMemory(Memory):
+    """Packed ids of chunks whose words the library encodes."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        from tokenizers import Tokenizer
+
+        super().__init__(vocabulary)
+        self.tokenizer = Tokenizer.from_file(vocabulary.path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.encode_words = self.by_library
+
+    def by_library(self, words: list[bytes]) -> list[bytes]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        return [array.array(self.code, x).tobytes() for x in ids]
+
+
+@functools.lru_cache(maxsize=4)
+def memory(path: str) -> LibraryMemory:
+    """One for each worker process, which has one thread."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return LibraryMemory(Vocabulary(path))
+
+
 def opened(path: str):
     """File system and path of a name with or without scheme."""
     from pyarrow import fs
@@ -56,7 +89,7 @@ class ShardWriter:
         self.out = self.fs.open_output_stream(self.path)
         self.out.write(MAGIC)
         self.width = np.dtype(width).itemsize
-        self.bounds, self.docs, self.nameless = [0], [], 0
+        self.bounds, self.docs, self.nameless = array.array("Q", [0]), array.array("q"), 0
 
     def add(self, doc_id: int | None, packed: bytes) -> None:
         self.out.write(packed)
@@ -68,7 +101,7 @@ class ShardWriter:
 
     def close(self) -> tuple[int, int]:
         first = self.docs[0] if self.docs else 0
-        codes = [EliasFano.of(self.bounds).to_bytes(), EliasFano.of([d - first for d in self.docs]).to_bytes()]
+        codes = [EliasFano.of(np.frombuffer(self.bounds, np.uint64)).to_bytes(), EliasFano.of(np.frombuffer(self.docs, np.int64).astype(np.uint64) - np.uint64(first % (1 << 64))).to_bytes()]
         for c in codes:
             self.out.write(c)
         self.out.write(FOOTER.pack(self.width, len(self.docs), self.nameless, self.bounds[-1], first, *map(len, codes)))
@@ -110,52 +143,69 @@ class ShardReader:
                 yield doc, bounds[k], ids[bounds[k] - bounds[0] : bounds[k + 1] - bounds[0]]
 
 
-def write_shards(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, path: str | None = None, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
-    """Encode, order and write; the manifest (shard, path, n_docs, n_ids, base), base
-    being the ids in all shards before."""
+def write_shards(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, path: str | None = None, docs_per_shard: int = DOCS_PER_SHARD, ids_per_file: int = IDS_PER_FILE) -> DataFrame:
+    """Encode, order and write; the manifest (shard, file, path, n_docs, n_ids, base), base
+    being the ids in all files before."""
     spark, path = df.sparkSession, path or tokenizer_path()
     keys = df.select(F.col(key).cast("long").alias("k"))
     n = keys.count()
-    shards = min(MAX_SHARDS, max(1, -(-n // docs_per_shard)))
-    cuts = keys.select(F.percentile_approx("k", [i / shards for i in range(1, shards)], 10 * MAX_SHARDS)).first()[0] if shards > 1 else []
-    cuts = sorted(set(cuts or []))
+    shards = max(1, -(-n // docs_per_shard))
+    cuts = keys.select(F.percentile_approx("k", [i / shards for i in range(1, shards)], 10 * shards)).first()[0] if shards > 1 else []
+    # Ids with more rows than a shard: a row for each, n / docs_per_shard at most.
+    heavy = {r.k: -(-r["count"] // docs_per_shard) for r in keys.groupBy("k").count().where(F.col("count") > docs_per_shard).collect()} if shards > 1 else {}
+    cuts = sorted(set(cuts or []) | {c for k in heavy if k is not None for c in (k, k - 1)})
+    # Shards of a range of ids; ranges are (previous cut, cut], the last is open.
+    ranges = [1] * (len(cuts) + 1)
+    for k, parts in heavy.items():
+        if k is not None:
+            ranges[cuts.index(k)] = parts
+    first_of, nameless = np.cumsum([heavy.get(None, 1), *ranges]), heavy.get(None, 1)
+    parts_of = np.array(ranges)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         known = memory(path)
         end = np.array([end_id], known.vocabulary.width).tobytes()
         for b in batches:
             packed = [x + end for x in known.packed(texts(b.column(1)))]
             docs = b.column(0)
+            hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in packed], np.uint64)
+            null = docs.is_null().to_numpy(zero_copy_only=False)
             at = np.searchsorted(np.array(cuts, np.int64), docs.fill_null(0).to_numpy(), side="left")
-            at[docs.is_null().to_numpy(zero_copy_only=False)] = 0
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), docs, pa.array(packed, pa.binary())], names=["shard", "doc", "packed"])
+            parts = np.where(null, nameless, parts_of[at])
+            # The part within a shard's share by the high bits of the hash, so parts ascend.
+            part = ((hashes >> np.uint64(32)) * parts.astype(np.uint64)) >> np.uint64(32)
+            shard = np.where(null, 0, first_of[at]) + part.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), docs, pa.array((hashes >> np.uint64(1)).astype(np.int64)), pa.array(packed, pa.binary())], names=["shard", "doc", "hash", "packed"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = memory(path).vocabulary.width
-        now, writer, out = None, None, []
+        now, file, writer, out = None, 0, None, []
 
         def close():
             if writer:
-                out.append((now, name, *writer.close()))
+                out.append((now, file, name, *writer.close()))
 
         for b in batches:
-            for shard, doc, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if shard != now:
+            for shard, doc, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True):
+                if shard != now or writer.bounds[-1] >= ids_per_file:
                     close()
-                    now, name = shard, f"{folder}/shard-{shard:05d}-{uuid.uuid4().hex}.tok"
+                    now, file = shard, file + 1 if shard == now else 0
+                    name = f"{folder}/shard-{shard:05d}-{file:03d}-{uuid.uuid4().hex}.tok"
                     writer = ShardWriter(name, width)
                 writer.add(doc, packed.as_buffer().to_pybytes())
         close()
-        columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-        types = (pa.int32(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "path", "n_docs", "n_ids"])
+        columns = list(zip(*out, strict=True)) or [(), (), (), (), ()]
+        types = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "file", "path", "n_docs", "n_ids"])
 
-    coded = mapped(df.select(F.col(key).cast("long"), text), encode, "shard int, doc long, packed binary")
-    dealt = coded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc").asc_nulls_first(), "packed")
+    coded = mapped(df.select(F.col(key).cast("long"), text), encode, "shard int, doc long, hash long, packed binary")
+    dealt = coded.repartitionById(int(first_of[-1]), F.col("shard")).sortWithinPartitions("shard", F.col("doc").asc_nulls_first(), "hash", "packed")
     # Written, so that reading the manifest again doesn't write the shards again.
-    manifest, _ = written(mapped(dealt, write, "shard int, path string, n_docs long, n_ids long"), "shard-manifest")
-    # One row for each shard, MAX_SHARDS at most.
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    manifest, _ = written(mapped(dealt, write, "shard int, file int, path string, n_docs long, n_ids long"), "shard-manifest")
+    # One row for each file.
+    before = Window.orderBy("shard", "file").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
 
 
@@ -183,11 +233,13 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 if rows:
                     yield block(rows)
 
-    spread = manifest.select("path", "base").repartition(min(MAX_SHARDS, max(1, manifest.count())))
+    spread = manifest.select("path", "base").repartition(max(1, manifest.count()))
     return mapped(spread, run, schema)
 
 
 def op5_token_shards(spark, sf_dir: str) -> DataFrame:
     """Write ids of every whole document in shards and read the shards back."""
-    docs = table(spark, sf_dir, "documents")
-    return read_shards(write_shards(docs, scratch(spark, "token-shards")))
+    docs, folder = table(spark, sf_dir, "documents"), scratch(spark, "token-shards")
+    rows, _ = written(read_shards(write_shards(docs, folder)), "shard-rows")
+    dropped(spark, folder)
+    return rows

@@ -308,17 +308,57 @@ def test_shards(spark, docs, odd, library, empty):
             assert r.start == at and r.n_tokens == len(r.token_ids) and r.ids_crc32 == zlib.crc32(np.array(r.token_ids, "<u4").tobytes())
             at += r.n_tokens
         assert sorted((d or -1, i) for d, i in want) == sorted((r.doc_id or -1, r.token_ids) for r in got)
-        one = shards.ShardReader(m.orderBy("shard").first().path)
-        assert one.document(1).tolist() == got[1].token_ids
+        one = shards.ShardReader(m.orderBy("shard", "file").first().path)
+        assert one.document(0).tolist() == got[0].token_ids
     assert shards.read_shards(shards.write_shards(empty, scratch(spark, "shards-none"))).count() == 0
 
 
+def test_shards_hot_id_and_rolled_files(spark, library):
+    rows = [(7 if i % 3 else i, f"text {i % 40} of some words") for i in range(300)] + [(None, f"n {i}") for i in range(80)]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    m = shards.write_shards(t, scratch(spark, "shards-hot"), docs_per_shard=20, ids_per_file=50)
+    files = m.collect()
+    assert len({r.shard for r in files}) > 15 and max(r.n_docs for r in files) < 60 and max(r.n_ids for r in files) < 70
+    got = shards.read_shards(m, with_ids=True).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    want = collections.Counter((d, *library.encode(x, add_special_tokens=False).ids, 2) for d, x in rows)
+    assert collections.Counter((r.doc_id, *r.token_ids) for r in got) == want
+    # Equal rows are read in one order whenever they are written.
+    again = shards.read_shards(shards.write_shards(t.repartition(5), scratch(spark, "shards-hot"), docs_per_shard=20, ids_per_file=50))
+    assert [tuple(r) for r in again.orderBy("start").collect()] == [tuple(r)[:4] for r in got]
+
+
+def test_long_words(library):
+    import time
+
+    known, rng = bpe.memory(tokenizer_path()), np.random.default_rng(9)
+    for n in (513, 3000):
+        word = "".join(rng.choice(list("abcdefghijklmnop"), n))
+        for text in (word, f"x {word} {word}é"):
+            assert known.encode(text) == shards.memory(tokenizer_path()).encode(text) == library.encode(text, add_special_tokens=False).ids
+    for word in ("".join(rng.choice(list("abcdefghijklmnop"), 100_000)), "a" * 100_000):
+        assert known.encode(word) == library.encode(word, add_special_tokens=False).ids
+    began = time.perf_counter()
+    assert known.encode("".join(rng.choice(list("abcdefghij"), 1_000_000)))
+    assert time.perf_counter() - began < 20 and max(map(len, known.chunks), default=0) <= bpe.REMEMBERED
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 300, 70_000])
 def test_elias_fano(n):
     v = np.sort(np.random.default_rng(n).integers(0, 10**7, n))
     e = EliasFano.from_bytes(EliasFano.of(v).to_bytes())
     assert (e.slice(0, n) == v).all() and all(e.select(i) == v[i] for i in range(0, n, 997))
     assert n < 300 or len(e.to_bytes()) < n * 2.8
+    # An opened list holds no more than its bytes and has no table of 64-bit places.
+    assert e.nbytes() <= len(e.to_bytes()) and e.samples.dtype == np.uint32 and (n == 0 or e.low_bits.base is not None)
+    some = np.random.default_rng(1).integers(0, 10**7, 20) if n else []
+    assert all(e.rank(int(x)) == np.searchsorted(v, x) for x in some)
+    for a, b in ((0, 0), (n // 3, n // 2), (max(0, n - 5), n)):
+        assert (e.slice(a, b) == v[a:b]).all()
 
 
 # ------------------------------------------------------------------ 6 rules
