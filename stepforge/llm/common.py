@@ -11,10 +11,13 @@ from pyspark.sql.types import StructType
 
 from stepforge.session import dropped, scratch, ship, shared_dir, written
 
-__all__ = ["dropped", "scratch", "ship", "shared_dir", "written", "table", "tokenizer_path", "mapped", "texts", "extended", "salts", "facts_of"]
+__all__ = ["dropped", "scratch", "ship", "shared_dir", "written", "table", "tokenizer_path", "mapped", "texts", "extended", "salts", "facts_of", "hot_limit", "hot_join"]
 
 #: Rows in an Arrow batch: whole texts are long, so batches are short.
 BATCH_ROWS = 1000
+#: A key with more rows than this and than one ``HOT_KEYS``-th of all is hot, so that there
+#: are never more than ``HOT_KEYS`` hot keys and what is broadcast for them is bounded.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,3 +64,20 @@ def facts_of(rows: DataFrame, keys: list[str], salt: str = "salt", **facts: str)
     merge = {n: "sum" if (kind := e.partition("(")[0].strip()) == "count" else kind for n, e in facts.items()}
     whole = parts.groupBy(*keys).agg(*(F.expr(f"{m}(_{n})").alias(n) for n, m in merge.items()))
     return parts.select(*keys, salt).join(whole, keys)
+
+
+def hot_limit(total: int) -> int:
+    return max(HOT_ROWS, total // HOT_KEYS)
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], members: str, total: int) -> DataFrame:
+    """``rows`` inner-joined with ``facts``, a table read from disk with one row for each
+    group and the group's number of rows in column ``members``, which is left out. Rows of
+    hot groups stay where they are and get the facts of these few groups by broadcast; only
+    the others are dealt out by their keys."""
+    limit = hot_limit(total)
+    hot, cold = facts.where(F.col(members) > limit).drop(members), facts.where(F.col(members) <= limit).drop(members)
+    if not hot.limit(1).count():
+        return rows.join(cold, keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)

@@ -11,11 +11,17 @@ Banding. ``bands`` bands of ``rows`` coordinates; with 42 bands of 6, a pair at
 
 Verification and components. Documents with equal shingle sets are one class, held by the
 smallest id. Within a bucket, members are compared with a centre; two more rounds take
-other centres for members that are still in other components; at last every pair of
-members from different components is compared that no centre has joined, minority against
-all, in cells of bounded size. So no pair that a bucket has is lost, yet pairs inside a component that links have
-already joined are never made: a component's members need no further links. Comparison
-is exact, on full shingle sets.
+other centres for members that are still in other components, and rounds end once no
+bucket has members of two; at last every pair of members from different components is
+compared that no centre has joined, minority against all, in cells of bounded size. So no
+pair that a bucket has is lost, yet pairs inside a component that links have already joined
+are never made: a component's members need no further links. Comparison is exact, on full
+shingle sets.
+
+Skew. A hot bucket, class or centre (a large group of copies) is never gathered in one
+task: its few facts are broadcast to its rows (``hot_join``), a hot centre's set is copied
+to ``SALTS`` parts of its pairs, and links of one node are dealt out in parts. Documents
+without shingles take no part in any join.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]`` after lower-casing A-Z; shingles of five words
 unless a caller says otherwise (``op1_minhash_dedup`` takes two). Shingles are 64-bit
@@ -23,9 +29,9 @@ hashes.
 
 Defined results: null texts and texts without words have no shingles and link with
 nothing; fewer words than a shingle make one shingle; very long texts are whole; repeated
-rows have equal results; rows with equal ids are one node; a null id never links, its
-component is null and it is kept; an empty table gives an empty result; other columns are
-ignored, whatever their names.
+rows have equal results; rows with equal ids are one node, whose set is the least of their
+sets where texts differ; a null id never links, its component is null and it is kept; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,13 +44,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepforge.llm.common import dropped, mapped, table, texts, written
+from stepforge.llm.common import dropped, hot_join, hot_limit, mapped, table, texts, written
 from stepforge.llm.components import components
 
 BANDS, ROWS = 42, 6
 SHINGLE_WORDS, PERCENT = 5, 80
-#: Comparisons of a component that may become pairs; sets to a side of a grid's cell.
-PAIRS_LIMIT, CELL = 256, 256
+#: Comparisons of a group that may become pairs; sets to a side of a grid's cell, and
+#: shingles of these.
+PAIRS_LIMIT, CELL, CELL_SHINGLES = 256, 256, 1 << 20
+#: Parts of the pairs of a hot centre.
+SALTS = 64
 #: Rows of full sets in a batch: a long document has very many shingles.
 SET_ROWS = 64
 #: Remembered words of a worker process.
@@ -151,7 +160,7 @@ def full_sets(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return mapped(df.select(F.col(key).cast("long"), text), run, "id long, shingles binary", SET_ROWS)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, kept) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,36 +174,57 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * same >= percent * (len(both) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    pairs = kept(pairs.select("a", "b"), "pairs")
+    many = pairs.groupBy("a").count().where(F.col("count") > hot_limit(pairs.count())).select("a", F.lit(True).alias("_hot"))
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return mapped(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), run, "a long, b long", SET_ROWS)
-
-
-def remaining(now: DataFrame, open_: DataFrame, sets: DataFrame, percent: int, similar_size) -> DataFrame:
+    if many.limit(1).count():
+        hot = F.broadcast(many)  # HOT_KEYS rows at most
+        part = F.when(F.col("_hot"), F.pmod(F.xxhash64("b"), F.lit(SALTS))).otherwise(F.lit(0))
+        copies = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+        pairs = pairs.join(hot, "a", "left").withColumn("salt", part)
+        left = left.join(hot, "a", "left").withColumn("salt", F.explode(copies))
+    else:
+        pairs, left = pairs.withColumn("salt", F.lit(0)), left.withColumn("salt", F.lit(0))
+    return mapped(pairs.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "x", "y"), run, "a long, b long", SET_ROWS)
+
+
+def remaining(now: DataFrame, open_: DataFrame, sets: DataFrame, percent: int, similar_size, total: int, kept) -> DataFrame:
     """Links between members of unresolved buckets that no centre has joined.
 
-    Whoever is not of a bucket's majority component is compared with that component's
-    members and with the others of its kind. Small cases become pairs; the sets of large
-    ones are laid out in a grid of bounded cells, each of which counts all intersections
-    at once and gives one link for each document and component, so that no table of pairs
-    arises."""
-    few = now.join(open_.select("bucket", F.col("majority").alias("c")), "bucket").where("root <> c").select("c", "id", "n", "root").distinct()
-    few, path = written(few, "few")
-    own = now.select("id", "n", "root").distinct().join(few.select(F.col("c").alias("root")).distinct(), "root", "left_semi")
-    all_ = own.select(F.col("root").alias("c"), "id", "n", "root").union(few)
-    sizes = all_.groupBy("c").agg(F.count("*").alias("nl")).join(few.groupBy("c").agg(F.count("*").alias("nr")), "c")
-    sizes, _ = written(sizes, "sizes")
+    Whoever is not of a bucket's majority component is compared with the bucket's other
+    members, by bucket, or, where that is less work as buckets share most of their members,
+    once with all of that component's members in such buckets. Small groups become pairs;
+    the sets of large ones are laid out in a grid of bounded cells, each of which counts all
+    intersections at once and gives one link for each document and component, so that no
+    table of pairs arises."""
+    members = kept(hot_join(now, open_, ["bucket"], "members", total).select("bucket", "majority", "id", "n", "root"), "open")
+    minority = F.col("root") != F.col("majority")
+    by_bucket = members.groupBy("majority", "bucket").agg((F.count("*") * F.count_if(minority)).alias("work")).groupBy("majority").agg(F.sum("work").alias("work"))
+    different = members.groupBy("majority", "id", "root").agg(F.lit(1).alias("one")).groupBy("majority").agg((F.count("*") * F.count_if(minority)).alias("once"))
+    chosen = kept(by_bucket.join(different, "majority").select("majority", (F.col("work") <= F.col("once")).alias("apart"), F.lit(0).cast("long").alias("members")), "chosen")
+    sized = members.groupBy("majority").agg(F.count("*").alias("members")).join(chosen.drop("members"), "majority")
+    sized = kept(sized, "sized")
+    keyed = hot_join(members, sized, ["majority"], "members", total)
+    group = F.when(F.col("apart"), F.struct(F.lit(0).alias("kind"), F.col("bucket").alias("key"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("majority").alias("key")))
+    all_ = kept(keyed.select(group.alias("c"), "id", "n", "root", minority.alias("few")).distinct(), "groups")
+    all_ = all_.select(F.xxhash64("c.kind", "c.key").alias("c"), "id", "n", "root", "few")
+    few = all_.where("few")
+    sizes = kept(all_.groupBy("c").agg(F.count("*").alias("nl"), F.sum("n").alias("sl"), F.count_if("few").alias("nr"), F.sum(F.when(F.col("few"), F.col("n")).otherwise(0)).alias("sr")), "sizes")
 
     small = sizes.where(f"nl * nr <= {PAIRS_LIMIT}").select("c")
     left = all_.join(small, "c").select("c", "id", "n", "root")
     right = few.join(small, "c").select("c", F.col("id").alias("a"), F.col("n").alias("m"), F.col("root").alias("ra"))
     pairs = left.join(right, "c").where("root <> ra").where(similar_size).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
-    cells = sizes.where(f"nl * nr > {PAIRS_LIMIT}").select("c", F.expr(f"(nl - 1) div {CELL} + 1").alias("i"), F.expr(f"(nr - 1) div {CELL} + 1").alias("j"))
+    side = lambda n, s: F.expr(f"greatest(({n} - 1) div {CELL}, {s} div {CELL_SHINGLES}) + 1")
+    cells = sizes.where(f"nl * nr > {PAIRS_LIMIT}").select("c", side("nl", "sl").alias("i"), side("nr", "sr").alias("j"), F.col("nl").alias("members"))
+    cells = kept(cells, "cells")
+    apart = lambda t: hot_join(t, cells, ["c"], "members", total)
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    rows = all_.join(cells, "c").select("c", place("i").alias("x"), spread("j").alias("y"), "id", "root").join(sets, "id")
-    columns = few.join(cells, "c").select("c", spread("i").alias("x"), place("j").alias("y"), "id", "root").join(sets, "id")
+    rows = apart(all_).select("c", place("i").alias("x"), spread("j").alias("y"), "id", "root").join(sets, "id")
+    columns = apart(few).select("c", spread("i").alias("x"), place("j").alias("y"), "id", "root").join(sets, "id")
     columns = columns.select(*(F.col(c).alias(f"{c}_") for c in ("c", "x", "y", "id", "root", "shingles")))
 
     def cell(rows: pa.Table, columns: pa.Table) -> pa.Table:
@@ -219,56 +249,71 @@ def remaining(now: DataFrame, open_: DataFrame, sets: DataFrame, percent: int, s
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     large = rows.groupBy("c", "x", "y").cogroup(columns.groupBy("c_", "x_", "y_")).applyInArrow(cell, "a long, b long")
-    return verified(pairs, sets, percent).union(large)
+    return verified(pairs, sets, percent, kept).union(large)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of ``df``."""
     spark = df.sparkSession
-    marks, marks_path = written(sketches(df, key, text, width, bands, rows), "sketches")
+    paths: list[str] = []
+
+    def kept(t: DataFrame, name: str) -> DataFrame:
+        t, path = written(t, name)
+        paths.append(path)
+        return t
+
+    # The result is read from the sketches and classes, which stay.
+    marks, _ = written(sketches(df, key, text, width, bands, rows), "sketches")
     full = marks.where("n > 0 AND id IS NOT NULL")
-    classes = full.groupBy("set1", "set2").agg(F.min("id").alias("rep"))
+    classes, _ = written(full.groupBy("set1", "set2").agg(F.min("id").alias("rep"), F.count("*").alias("members")), "classes")
     # A class is in the buckets of its representative alone.
-    reps = full.join(classes.withColumnRenamed("rep", "id"), ["set1", "set2", "id"], "left_semi").select("id", "n", "bands")
+    reps = full.join(classes.select("set1", "set2", F.col("rep").alias("id")), ["set1", "set2", "id"], "left_semi").select("set1", "set2", "id", "n", "bands")
+    if full.groupBy("id").count().where("count > 1").limit(1).count():
+        reps = reps.groupBy("set1", "set2", "id", "n").agg(F.first("bands").alias("bands"))
+    reps = kept(reps.select("id", "n", "bands"), "reps")
     entries = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("centre")).where("members > 1")
-    buckets, buckets_path = written(entries.join(shared.drop("members"), "bucket"), "buckets")
+    shared = kept(entries.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("centre")).where("members > 1"), "shared")
+    buckets = kept(hot_join(entries, shared, ["bucket"], "members", bands * reps.count()), "buckets")
+    total = buckets.count()
     wanted = buckets.select("id").distinct()
-    sets, sets_path = written(full_sets(df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi"), "id", "text", width).dropDuplicates(["id"]), "sets")
+    sets = kept(full_sets(df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi"), "id", "text", width).where("octet_length(shingles) > 0").groupBy("id").agg(F.min("shingles").alias("shingles")), "sets")
 
     similar_size = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     roots, roots_path = None, None
-    paths = []
     for step in range(4):
         if not step:
             pairs = buckets.where("id <> centre").groupBy("id").agg(F.min("centre").alias("a"))
-            found = verified(pairs.select("a", F.col("id").alias("b")), sets, percent)
+            found = verified(pairs.select("a", F.col("id").alias("b")), sets, percent, kept)
         else:
-            now = buckets.drop("centre").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-            open_ = now.groupBy("bucket").agg(
-                F.min("root").alias("r0"), F.max("root").alias("r1"),
+            now = kept(buckets.drop("centre").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "now")
+            by = now.groupBy("bucket").agg(
+                F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1"),
                 F.min_by(F.struct("id", "n", "root"), F.xxhash64("id", F.lit(step))).alias("c"),
-                F.mode("root").alias("majority") if step == 3 else F.lit(0).alias("majority"),
-            ).where("r0 < r1")
+            ).where("r0 < r1").drop("r0", "r1")
+            open_ = kept(by, "open-buckets")
+            if not open_.limit(1).count():
+                break
             if step < 3:
-                pairs = now.join(open_, "bucket").where("root <> c.root").withColumn("m", F.col("c.n")).where(similar_size)
+                pairs = hot_join(now, open_, ["bucket"], "members", total).where("root <> c.root").withColumn("m", F.col("c.n")).where(similar_size)
                 pairs = pairs.groupBy("id").agg(F.min("c.id").alias("a"))
-                found = verified(pairs.select("a", F.col("id").alias("b")), sets, percent)
+                found = verified(pairs.select("a", F.col("id").alias("b")), sets, percent, kept)
             else:
-                found = remaining(now, open_, sets, percent, similar_size)
-        links, path = written(found, "links")
-        paths.append(path)
+                # The commonest component of each open bucket, counted by bucket and component.
+                counted = hot_join(now, open_.select("bucket", "members"), ["bucket"], "members", total).groupBy("bucket", "root").agg(F.count("*").alias("w"))
+                most = counted.groupBy("bucket").agg(F.sum("w").alias("members"), F.max_by("root", F.struct("w", "root")).alias("majority"))
+                found = remaining(now, kept(most, "majorities"), sets, percent, similar_size, total, kept)
+        links = kept(found, "links")
         linked = links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         new, new_path = components(linked)
         if roots_path:
             dropped(spark, roots_path)
         roots, roots_path = new, new_path
-    for path in (buckets_path, sets_path, *paths):
+    found, _ = written(classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set1", "set2", "members", F.coalesce("root", "rep").alias("root")), "class-roots")
+    for path in (*paths, roots_path):
         dropped(spark, path)
-    found = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set1", "set2", F.coalesce("root", "rep").alias("root"))
-    out = marks.drop("bands").join(found, ["set1", "set2"], "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("root")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    named = hot_join(full.drop("bands"), found, ["set1", "set2"], "members", marks.count()).select("id", "n", "root")
+    alone = marks.where("NOT (n > 0 AND id IS NOT NULL)").select("id", "n", F.col("id").alias("root"))
+    return named.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.coalesce(F.col("id") == F.col("root"), F.lit(True)).alias("kept"))
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
