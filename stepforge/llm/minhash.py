@@ -200,26 +200,24 @@ def remaining(now: DataFrame, open_: DataFrame, sets: DataFrame, percent: int, s
     table of pairs arises."""
     members = kept(hot_join(now, open_, ["bucket"], "members", total).select("bucket", "majority", "id", "n", "root"), "open")
     minority = F.col("root") != F.col("majority")
-    by_bucket = members.groupBy("majority", "bucket").agg((F.count("*") * F.count_if(minority)).alias("work")).groupBy("majority").agg(F.sum("work").alias("work"))
+    by_bucket = members.groupBy("majority", "bucket").agg(F.count("*").alias("m"), F.count_if(minority).alias("few")).groupBy("majority").agg(F.sum("m").alias("members"), F.sum(F.col("m") * F.col("few")).alias("work"))
     different = members.groupBy("majority", "id", "root").agg(F.lit(1).alias("one")).groupBy("majority").agg((F.count("*") * F.count_if(minority)).alias("once"))
-    chosen = kept(by_bucket.join(different, "majority").select("majority", (F.col("work") <= F.col("once")).alias("apart"), F.lit(0).cast("long").alias("members")), "chosen")
-    sized = members.groupBy("majority").agg(F.count("*").alias("members")).join(chosen.drop("members"), "majority")
-    sized = kept(sized, "sized")
+    sized = kept(by_bucket.join(different, "majority").select("majority", (F.col("work") <= F.col("once")).alias("apart"), "members"), "sized")
     keyed = hot_join(members, sized, ["majority"], "members", total)
     group = F.when(F.col("apart"), F.struct(F.lit(0).alias("kind"), F.col("bucket").alias("key"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("majority").alias("key")))
     all_ = kept(keyed.select(group.alias("c"), "id", "n", "root", minority.alias("few")).distinct(), "groups")
     all_ = all_.select(F.xxhash64("c.kind", "c.key").alias("c"), "id", "n", "root", "few")
     few = all_.where("few")
-    sizes = kept(all_.groupBy("c").agg(F.count("*").alias("nl"), F.sum("n").alias("sl"), F.count_if("few").alias("nr"), F.sum(F.when(F.col("few"), F.col("n")).otherwise(0)).alias("sr")), "sizes")
+    side = lambda n, s: F.expr(f"greatest(({n} - 1) div {CELL}, {s} div {CELL_SHINGLES}) + 1")
+    sizes = all_.groupBy("c").agg(F.count("*").alias("nl"), F.sum("n").alias("sl"), F.count_if("few").alias("nr"), F.sum(F.when(F.col("few"), F.col("n")).otherwise(0)).alias("sr"))
+    sizes = kept(sizes.select("c", "nl", "nr", side("nl", "sl").alias("i"), side("nr", "sr").alias("j"), F.col("nl").alias("members")), "sizes")
 
     small = sizes.where(f"nl * nr <= {PAIRS_LIMIT}").select("c")
     left = all_.join(small, "c").select("c", "id", "n", "root")
     right = few.join(small, "c").select("c", F.col("id").alias("a"), F.col("n").alias("m"), F.col("root").alias("ra"))
     pairs = left.join(right, "c").where("root <> ra").where(similar_size).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
-    side = lambda n, s: F.expr(f"greatest(({n} - 1) div {CELL}, {s} div {CELL_SHINGLES}) + 1")
-    cells = sizes.where(f"nl * nr > {PAIRS_LIMIT}").select("c", side("nl", "sl").alias("i"), side("nr", "sr").alias("j"), F.col("nl").alias("members"))
-    cells = kept(cells, "cells")
+    cells = sizes.where(f"nl * nr > {PAIRS_LIMIT}").drop("nl", "nr")
     apart = lambda t: hot_join(t, cells, ["c"], "members", total)
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
