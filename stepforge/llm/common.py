@@ -32,11 +32,17 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, rows: int = BATCH_ROWS) -> DataFrame:
-    """``mapInArrow`` in batches of ``rows``, with this package on the workers."""
+    """``mapInArrow`` in batches of ``rows``, with this package on the workers. The session's
+    setting holds when a plan runs, perhaps with another operator's value by then, so
+    batches are cut here as well."""
     spark = df.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(fn, schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+    return df.mapInArrow(cut, schema)
 
 
 def texts(column: pa.Array) -> list[str]:
