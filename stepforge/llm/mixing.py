@@ -7,23 +7,26 @@ goes. As the shares add up to the frame, every block goes within its window, so
 a source is less than one block away from its exact share. The schedule of a frame repeats.
 
 A source's rows are numbered without sorting them in one task: rows are dealt out by source
-and hash bucket of their id, numbered there, and offset by the counts of the buckets before.
+and hash bucket of their id, numbered there, and offset by the counts of the buckets before;
+buckets multiply with the rows, from ``BUCKETS`` on, so that none grows with the data.
 Every row comes exactly once. When a source has run out, its slots are skipped and the
-others go on in their own proportions.
+others go on in their own proportions; ``held_rows`` tells how many leading rows of the mix
+hold the target weights.
 
-All on SQL expressions; what is broadcast is bounded by ``frame`` and by sources times
-``BUCKETS``.
+All on SQL expressions; what is broadcast is bounded by ``frame`` and, while that is under
+``BROADCAST`` rows, by sources times buckets.
 
 Defined results: null sources and sources without a weight are one source, ``other``;
 null ids are numbered first in their bucket; rows that repeat an id are ordered by the hash
-of the whole row, equal rows anyhow; texts are carried, not read; an empty table gives no rows;
-other columns are kept by ``mixed``.
+of the whole row, equal rows anyhow; columns of any type, maps as well, are carried; texts
+are carried, not read; an empty table gives no rows; other columns are kept by ``mixed``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stepforge.llm.common import table
 
@@ -31,6 +34,8 @@ OTHER = "other"
 #: Target weights of the query and of the pipeline: the hot source is held to a tenth.
 WEIGHTS = {"src0": 0.10} | {f"src{i}": 0.045 for i in range(1, 20)} | {OTHER: 0.045}
 FRAME, BLOCK_ROWS, BUCKETS = 1000, 16, 1024
+#: Rows of a bucket, of all sources, beyond which there are more buckets.
+BUCKET_ROWS, BROADCAST = 100_000, 100_000
 
 
 def shares(weights: dict[str, float], frame: int = FRAME) -> dict[str, int]:
@@ -59,7 +64,7 @@ def schedule(spark, slots: dict[str, int]) -> DataFrame:
     fold = f"aggregate(sequence(0, {frame - 1}), named_struct('counts', array_repeat(0, {len(names)}), 'order', CAST(array() AS ARRAY<INT>)), (st, t) -> {step}).order"
     rows = spark.range(1).select(F.posexplode(F.expr(fold)).alias("_slot", "_i"))
     rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_i").orderBy("_slot")) - 1)
-    named = F.expr("array(" + ", ".join(f"'{s}'" for s in names) + ")[_i]")
+    named = F.element_at(F.array(*map(F.lit, names)), F.col("_i") + 1)
     of = F.expr(f"{share}[_i]")
     return rows.select(
         named.alias("_source"), F.col("_k").cast("long"), F.col("_slot").cast("long"), of.cast("long").alias("_share"),
@@ -67,11 +72,13 @@ def schedule(spark, slots: dict[str, int]) -> DataFrame:
     )
 
 
-def mixed(df: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id", source: str = "source", frame: int = FRAME, block_rows: int = BLOCK_ROWS, buckets: int = BUCKETS) -> DataFrame:
+def mixed(df: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id", source: str = "source", frame: int = FRAME, block_rows: int = BLOCK_ROWS, buckets: int | None = None) -> DataFrame:
     """``df`` and mix_block (of its source), mix_slot, mix_offset, mix_release and
     mix_deadline; the mix is the order by mix_slot, mix_offset."""
     weights = {OTHER: min((weights or WEIGHTS).values())} | (weights or WEIGHTS)
     slots = shares(weights, frame)
+    while buckets is None or buckets < 1:
+        buckets = max(BUCKETS, 1 << (df.count() // BUCKET_ROWS).bit_length())
     own = [f"_own{i}" for i in range(len(df.columns))]
     key, source = (own[df.columns.index(c)] for c in (key, source))
     known = [s for s in slots if s != OTHER]
@@ -82,11 +89,14 @@ def mixed(df: DataFrame, weights: dict[str, float] | None = None, key: str = "do
     counts = rows.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_source", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_before"))
-    here = Window.partitionBy("_source", "_bucket").orderBy(F.col(key).asc_nulls_first(), F.xxhash64(*own))
-    rows = rows.withColumn("_in", F.row_number().over(here) - 1).join(F.broadcast(offsets), ["_source", "_bucket"])
+    # Maps have no hash of their own.
+    hashed = [F.to_json(F.struct(o)) if _has_map(f.dataType) else F.col(o) for o, f in zip(own, df.schema.fields, strict=True)]
+    here = Window.partitionBy("_source", "_bucket").orderBy(F.col(key).asc_nulls_first(), F.xxhash64(*hashed))
+    few = buckets * len(slots) <= BROADCAST
+    rows = rows.withColumn("_in", F.row_number().over(here) - 1).join(F.broadcast(offsets) if few else offsets, ["_source", "_bucket"])
     rows = rows.withColumn("_rank", F.col("_before") + F.col("_in")).withColumn("_block", F.expr(f"_rank div {block_rows}"))
     slot_of = schedule(df.sparkSession, slots)
-    share = F.expr("map(" + ", ".join(f"'{s}', {n}L" for s, n in slots.items()) + ")[_source]")
+    share = F.element_at(F.create_map(*(F.lit(x).cast(t) for s, n in slots.items() for x, t in ((s, "string"), (n, "long")))), F.col("_source"))
     rows = rows.withColumn("_frame", F.floor(F.col("_block") / share).cast("long")).withColumn("_k", F.col("_block") - F.col("_frame") * share)
     rows = rows.join(F.broadcast(slot_of), ["_source", "_k"])
     start = F.col("_frame") * frame
@@ -100,6 +110,36 @@ def mixed(df: DataFrame, weights: dict[str, float] | None = None, key: str = "do
     )
 
 
+def _has_map(t: T.DataType) -> bool:
+    inner = [f.dataType for f in t.fields] if isinstance(t, T.StructType) else [t.elementType] if isinstance(t, T.ArrayType) else []
+    return isinstance(t, T.MapType | T.VariantType) or any(map(_has_map, inner))
+
+
+def held_rows(counts: dict[str, int], weights: dict[str, float] | None = None, frame: int = FRAME, block_rows: int = BLOCK_ROWS) -> int:
+    """How many leading rows of the mix of sources with ``counts`` rows hold the target
+    weights: those before the first slot in which a source that has rows has none left."""
+    weights = {OTHER: min((weights or WEIGHTS).values())} | (weights or WEIGHTS)
+    slots = shares(weights, frame)
+    there = {s: n for s, n in counts.items() if n and s in slots}
+    # A source's block k goes in the slot of its place in the frame.
+    order = _simulated(slots)
+    at = {s: [t for t, name in enumerate(order) if name == s] for s in there}
+    slot_of = lambda s, k: k // slots[s] * frame + at[s][k % slots[s]]
+    end = min((slot_of(s, -(-n // block_rows)) for s, n in there.items()), default=0)
+    blocks = {s: end // frame * slots[s] + sum(t < end % frame for t in at[s]) for s in there}
+    return sum(min(n, blocks[s] * block_rows) for s, n in there.items())
+
+
+def _simulated(slots: dict[str, int]) -> list[str]:
+    """The source of each slot of a frame, earliest deadline first, by plain simulation."""
+    frame, counts, order, out = sum(slots.values()), dict.fromkeys(slots, 0), {s: i for i, s in enumerate(slots)}, []
+    for t in range(frame):
+        _, _, s = min((-(-(counts[s] + 1) * frame // n), order[s], s) for s, n in slots.items() if counts[s] * frame // n <= t)
+        out.append(s)
+        counts[s] += 1
+    return out
+
+
 def op3_mix(spark, sf_dir: str) -> DataFrame:
     """The place of every document in the mix."""
     return mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
@@ -108,11 +148,9 @@ def op3_mix(spark, sf_dir: str) -> DataFrame:
 def _frame_rows(slots: dict[str, int]) -> str:
     """The schedule of a frame, found by plain simulation, as rows of SQL."""
     frame, counts, rows = sum(slots.values()), dict.fromkeys(slots, 0), []
-    order = {s: i for i, s in enumerate(slots)}
-    for t in range(frame):
-        free = [(-(-(counts[s] + 1) * frame // n), order[s], s) for s, n in slots.items() if counts[s] * frame // n <= t]
-        due, _, s = min(free)
-        rows.append(f"('{s}', {counts[s]}, {t}, {counts[s] * frame // slots[s]}, {due}, {slots[s]})")
+    for t, s in enumerate(_simulated(slots)):
+        k, n = counts[s], slots[s]
+        rows.append(f"('{s}', {k}, {t}, {k * frame // n}, {-(-(k + 1) * frame // n)}, {n})")
         counts[s] += 1
     return ", ".join(rows)
 

@@ -538,14 +538,63 @@ def test_neighbours_ties_and_odd(spark):
 def test_collision_counting_recall():
     rng = np.random.default_rng(3)
     v = rng.normal(size=(3000, 32))
-    index = neighbours.CollisionIndex(v)
-    hits = 0
-    for q, low, high in zip(v[:30], *(w.swapaxes(0, 1) for w in index.windows(v[:30])), strict=True):
-        best = np.argsort(-(v @ q))[:10]
-        hits += len(set(best) & set(index.candidates(low, high, 10)))
+    block, hits = neighbours.Block(np.arange(3000), v), 0
+    for q, verified, found in block.search(np.arange(30), v[:30], 10):
+        best = [i for i in np.argsort(-(v @ v[q])).tolist() if i != q][:10]
+        hits += len({*best} & {i for i, _ in found})
+        assert verified < 3000
     assert hits >= 0.9 * 300
 
 
+def clustered(rng, n, dim=32, clusters=64):
+    """Directions about centres, a third of all about one."""
+    centres = rng.normal(size=(clusters, dim))
+    which = np.where(rng.random(n) < 1 / 3, 0, rng.integers(0, clusters, n))
+    v = centres[which] + rng.normal(size=(n, dim)) * 0.25
+    return v / np.sqrt((v**2).sum(1))[:, None]
+
+
+def test_neighbours_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_VECTORS", 300)
+    monkeypatch.setattr(neighbours, "BLOCK_VECTORS", 250)
+    rng = np.random.default_rng(8)
+    v = clustered(rng, 4000)
+    v[17] *= 10
+    v[18:60] = v[18]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    asked = t.where("vec_id % 20 = 0")
+    got = collections.defaultdict(list)
+    for r in neighbours.neighbours(t, asked).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    hits = 0
+    for q in range(0, 4000, 20):
+        found = sorted(got[q])
+        want = sorted((-float((v[q] * x).sum()), i) for i, x in enumerate(v) if i != q)[:20]
+        assert [k for k, _, _ in found] == list(range(1, 21))
+        hits += len({i for _, i in want} & {i for _, i, _ in found})
+    assert hits >= 0.93 * 20 * 200, hits
+
+
+def test_neighbours_verify_few_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_VECTORS", 1000)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 32))
+    v = centres[np.arange(6000) % 60] + rng.normal(size=(6000, 32)) * 0.2
+    t = spark.createDataFrame([(i, x) for i, x in enumerate((v / np.sqrt((v**2).sum(1))[:, None]).tolist())], "vec_id long, embedding array<double>")
+    assert neighbours.verified_share(t, t.where("vec_id % 20 = 0")) < 0.1
+
+
+def test_neighbours_of_large_components(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(1500, 16)) * np.where(rng.random(1500) < 0.5, 1e39, 1e149)[:, None]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in neighbours.neighbours(t, t.where("vec_id % 50 = 0"), k=10).collect():
+        got[r.query_id].add(r.vec_id)
+    want = {q: set([i for i in np.argsort(-(v @ v[q])).tolist() if i != q][:10]) for q in range(0, 1500, 50)}
+    assert sum(len(got[q] & want[q]) for q in want) >= 0.95 * 10 * len(want)
+
+
 @pytest.mark.parametrize("norms", ["unit", "gaussian", "log-normal", "outlier 3", "outlier 10"])
 def test_neighbours_recall_of_uneven_norms(norms):
     rng = np.random.default_rng(5)

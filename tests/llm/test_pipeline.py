@@ -1,5 +1,6 @@
 """The pipeline against a brute-force version, stage by stage."""
 
+import collections
 import hashlib
 import re
 
@@ -28,6 +29,14 @@ def test_pipeline(spark, sf):
     library = Tokenizer.from_file(tokenizer_path())
     got = corpus_pipeline.run(spark, sf).collect()
     assert sorted(r.doc_id for r in got) == sorted(stays)
+    # What run returns has the order of the mix, and its leading rows hold the weights.
+    left = spark.createDataFrame([(r.doc_id, r.source) for r in got], "doc_id long, source string")
+    want = {r.doc_id: (r.mix_slot, r.mix_offset) for r in mixing.mixed(left).collect()}
+    order = [r.doc_id for r in sorted(got, key=lambda r: r.mix_no)]
+    assert [r.mix_no for r in sorted(got, key=lambda r: r.mix_no)] == list(range(len(got)))
+    assert order == sorted(want, key=want.get)
+    held = mixing.held_rows(collections.Counter(r.source for r in got))
+    assert all(r.mix_surplus == (r.mix_no >= held) for r in got) and 0 < held
     for r in got:
         text = secrets.without(rows[r.doc_id].text, secrets.scan([rows[r.doc_id].text], path)[0])
         assert (r.text, r.n_chars, r.source) == (text, len(text), rows[r.doc_id].source)
@@ -45,6 +54,30 @@ def test_mixing_stage_orders(spark, sf):
     assert order == want
 
 
+def test_held_rows():
+    weights = {"a": 0.5, "b": 0.3, "it's": 0.2}
+    for counts in ({"a": 500, "b": 900, "it's": 90}, {"a": 7, "b": 1, "it's": 2, "other": 0}, {"b": 40}, {}):
+        share = mixing.shares({mixing.OTHER: 0.2} | weights, 100)
+        at, taken, slot = 0, collections.Counter(), 0
+        frame = mixing._simulated(share)
+        while any(counts.values()):
+            s = frame[slot % 100]
+            if counts.get(s):
+                if taken[s] >= counts[s]:
+                    break
+                step = min(4, counts[s] - taken[s])
+                taken[s] += step
+                at += step
+            slot += 1
+        assert mixing.held_rows(counts, weights, 100, 4) == at
+
+
+def test_mix_of_maps_and_quotes(spark):
+    rows = [(i, "it's" if i % 2 else "b", {"k": i}) for i in range(50)] + [(1, "it's", {"k": 99})]
+    t = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, m map<string, int>"), {"it's": 0.6, "b": 0.4}, buckets=8).collect()
+    assert len(t) == 51 and {r.m["k"] for r in t} == {*range(50), 99} and {r.source for r in t} == {"it's", "b"}
+
+
 def test_stages_odd(spark, sf):
     docs = table(spark, sf, "documents")
     odd = spark.createDataFrame([(1, None, None, None, None), (None, "a b c d e f " * 20, "en", "src1", 9), (2, "", "en", "src1", 0), (2, "", "en", "src1", 0), (3, " ".join(f"w{i}" for i in range(80)), "en", "s", 1), (3, " ".join(f"w{i}" for i in range(80)), "en", "s", 1)], docs.schema)
