@@ -5,9 +5,10 @@ after another as little-endian integers of 2 or 4 bytes; the Elias-Fano coded do
 boundaries (one more than documents); the Elias-Fano coded document ids, less the
 smallest; a footer. Documents ascend by id, over all shards as in each.
 
-Words are encoded by the ``tokenizers`` library. As the vocabulary always separates words
-where white space or punctuation is, the ids of a word don't depend on its neighbours: a
-worker gives the library each word that it has not met before and remembers the answer.
+Words are encoded by the ``tokenizers`` library's model of the vocabulary. As the vocabulary
+always separates words where white space or punctuation is, the ids of a word don't depend
+on its neighbours: a worker cuts texts at these places, gives the library each word that it
+has not met before and remembers the answer.
 
 ``write_shards`` encodes first, so that packed ids and not texts are dealt out; tasks are
 ranges of document ids cut at approximate quantiles, as many as ``docs_per_shard`` asks for,
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepforge.llm.bpe import Memory, Vocabulary
+from stepforge.llm.bpe import Memory, Vocabulary, byte_characters
 from stepforge.llm.common import dropped, mapped, scratch, table, texts, tokenizer_path, written
 from stepforge.llm.eliasfano import EliasFano
 
@@ -54,22 +55,19 @@ class LibraryMemory(Memory):
         from tokenizers import Tokenizer
 
         super().__init__(vocabulary)
-        self.tokenizer = Tokenizer.from_file(vocabulary.path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.model = Tokenizer.from_file(vocabulary.path).model
+        self.letters = dict(enumerate(byte_characters()))
         self.encode_words = self.by_library
 
     def by_library(self, words: list[bytes]) -> list[bytes]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        return [array.array(self.code, x).tobytes() for x in ids]
+        # The model takes a visible character for each byte.
+        tokens = (self.model.tokenize(w.decode("latin-1").translate(self.letters)) for w in words)
+        return [array.array(self.code, [t.id for t in ts]).tobytes() for ts in tokens]
 
 
 @functools.lru_cache(maxsize=4)
 def memory(path: str) -> LibraryMemory:
-    """One for each worker process, which has one thread."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    """One for each worker process."""
     return LibraryMemory(Vocabulary(path))
 
 
@@ -151,8 +149,10 @@ def write_shards(df: DataFrame, folder: str, key: str = "doc_id", text: str = "t
     n = keys.count()
     shards = max(1, -(-n // docs_per_shard))
     cuts = keys.select(F.percentile_approx("k", [i / shards for i in range(1, shards)], 10 * shards)).first()[0] if shards > 1 else []
-    # Ids with more rows than a shard: a row for each, n / docs_per_shard at most.
-    heavy = {r.k: -(-r["count"] // docs_per_shard) for r in keys.groupBy("k").count().where(F.col("count") > docs_per_shard).collect()} if shards > 1 else {}
+    # Ids with more rows than two shards: each holds a cut at least, so only cuts are
+    # counted; one row for each, n / docs_per_shard at most.
+    asked = F.col("k").isin(sorted(set(cuts or []))) | F.col("k").isNull()
+    heavy = {r.k: -(-r["count"] // docs_per_shard) for r in keys.where(asked).groupBy("k").count().where(F.col("count") > 2 * docs_per_shard).collect()} if shards > 1 else {}
     cuts = sorted(set(cuts or []) | {c for k in heavy if k is not None for c in (k, k - 1)})
     # Shards of a range of ids; ranges are (previous cut, cut], the last is open.
     ranges = [1] * (len(cuts) + 1)
