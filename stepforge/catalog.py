@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scoring", "labelling", "datasets", "texts", "streams", "extras")
+MODULES = ("scoring", "labelling", "datasets", "texts", "streams", "extras", "training")
 
 
 def _all() -> dict:

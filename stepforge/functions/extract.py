@@ -173,3 +173,9 @@ def factor_check(code: Column, output: Column) -> Column:
     above, below = product(1), product(-1)
     same = above == F.try_multiply(n, below)
     return F.when(n.isNull() | ~readable | (below == 0) | same.isNull(), F.lit(None).cast("string")).when(same, "PASS").otherwise("FAIL")
+
+
+def first_of_list(text: Column) -> Column:
+    """PRJ-03: the first element of an answer that is a JSON list, else the answer."""
+    listed = F.from_json(text, "array<string>")
+    return F.when(text.rlike(r"(?s)^\s*\[.*\]\s*$") & listed.isNotNull() & (F.size(listed) > 0), F.get(listed, F.lit(0))).otherwise(text)

@@ -147,3 +147,24 @@ def media_counted(messages: Column, media: Column, placeholder: str = "<image>")
 def valid_example(prompt: Column, response: Column, ranking: bool = False) -> Column:
     """FLT-11: an odd prompt and one response, or two for rankings."""
     return (F.size(prompt) % 2 == 1) & ((F.size(response) > 1) if ranking else (F.size(response) == 1))
+
+
+def aligned(df, kind: str, *columns: str, keep: tuple[str, ...] = (), **options):
+    """PRJ-12: a converter over all rows; source columns go, but for ``keep``."""
+    a = CONVERTERS[kind](*map(F.col, columns), **options)
+    return df.select(*keep, a.alias("_a")).select(*keep, "_a.*")
+
+
+def tagged(df, name: str):
+    """PRJ-16: rows with the name of their dataset in front."""
+    return df.select(F.lit(name).alias("_dataset_name"), *df.columns)
+
+
+def request(messages: Column) -> Column:
+    """PRJ-18: a chat request as aligned messages; the last must be a user's or a tool's."""
+    roles = F.create_map(*(F.lit(x) for kv in {"user": "user", "assistant": "assistant", "system": "system", "function": "function", "tool": "observation"}.items() for x in kv))
+    known = F.transform(messages, lambda m: F.struct(F.coalesce(F.try_element_at(roles, m.role), F.lit("?")).alias("role"), m.content.alias("content")))
+    system, rest = _without_system(known)
+    fits = F.forall(F.transform(rest, lambda m, i: F.when(i % 2 == 0, m.role.isin(*EVEN)).otherwise(m.role.isin(*ODD))), lambda ok: ok)
+    broken = ~fits | (F.size(rest) % 2 == 0)
+    return F.struct(F.when(broken, none()).otherwise(rest).alias("prompt"), system.alias("system"), broken.alias("broken"))

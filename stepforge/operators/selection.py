@@ -74,3 +74,8 @@ def upper_median(values: Column) -> Column:
     """The element at ``n div 2`` of the sorted values."""
     xs = F.sort_array(F.collect_list(values))
     return F.try_element_at(xs, (F.size(xs) / 2).cast("int") + 1)
+
+
+def with_plan_scores(chains: DataFrame, scores: DataFrame) -> DataFrame:
+    """JN-07: chains with the plan score of their place, null where there is none."""
+    return chains.join(scores.select("prob_idx", "tpos", "plan_score"), ["prob_idx", "tpos"], "left")

@@ -7,6 +7,8 @@ import random
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stepforge.operators.datasets import hash_number
+
 
 def auc(scores: DataFrame, keys: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """AGG-17: P(score of a positive > score of a negative), ties one half; null without
@@ -54,7 +56,7 @@ def draws(spark: SparkSession, problems: list, n_boot: int, seed: int) -> DataFr
 def hashed_draws(spark: SparkSession, problems: DataFrame, n_boot: int) -> DataFrame:
     """(boot, prob_idx, weight) by Poisson(1) weights from hashes: a bootstrap whose draws
     are made where the problems are, for more problems than a driver holds."""
-    u = F.pmod(F.xxhash64("prob_idx", "boot"), F.lit(1 << 30)) / float(1 << 30)
+    u = hash_number(F.concat_ws(":", F.col("prob_idx").cast("string"), F.col("boot").cast("string"))) / float(1 << 32)
     steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712]
     weight = sum(((u >= s).cast("int") for s in steps), F.lit(0))
     return problems.select("prob_idx").distinct().crossJoin(F.broadcast(spark.range(n_boot).select(F.col("id").cast("int").alias("boot")))).withColumn("weight", weight).where("weight > 0")

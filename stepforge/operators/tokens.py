@@ -9,8 +9,9 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from stepforge.operators.packing import IGNORED
 from stepforge.session import ship
@@ -132,15 +133,19 @@ def packed(rows: list[dict], cutoff: int, pad: int = 0) -> list[dict]:
     return out
 
 
-def applied(df: DataFrame, encode: Callable[[pd.Series], dict], schema: str) -> DataFrame:
+def applied(df: DataFrame, encode: Callable[[dict], dict], schema: str) -> DataFrame:
     """TOK-02: one output row for each input row, in Arrow batches."""
+    import pyarrow as pa
+
     ship(df.sparkSession)
+    names, types = zip(*((f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema).fields), strict=True)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pd.DataFrame([encode(r) for r in pdf.to_dict("records")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [encode(r) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names=list(names))
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def step_flags(problem: str, response: str, encode: Encode, separator: str = "\n") -> tuple[list[int], list[int]]:

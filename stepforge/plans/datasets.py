@@ -71,6 +71,13 @@ def prj10_openai(spark, d):
     return t.groupBy("a.broken").agg(F.count("*").alias("n"))
 
 
+PRJ10 = """WITH m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n, role FROM conversations),
+k AS (SELECT conv_id, i, CASE WHEN i % 5 = 3 THEN 'observation' ELSE role END AS role FROM m WHERE NOT (i % 5 = 3 AND i = n - 1)),
+s AS (SELECT conv_id, coalesce(max(CASE WHEN i = 0 AND role = 'system' THEN 1 END), 0) AS sys FROM k GROUP BY conv_id),
+b AS (SELECT k.conv_id, count(*) AS n, bool_and(CASE WHEN (i - sys) % 2 = 0 THEN role IN ('human', 'user', 'observation') ELSE role IN ('gpt', 'assistant', 'function_call', 'function') END) AS ok FROM k JOIN s USING (conv_id) WHERE i >= sys GROUP BY k.conv_id)
+SELECT broken, count(*) AS n FROM (SELECT coalesce(NOT ok OR n % 2 <> 0, TRUE) AS broken FROM s LEFT JOIN b USING (conv_id)) GROUP BY 1"""
+
+
 def mix01_concat(spark, d):
     a = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
     b = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
@@ -164,11 +171,28 @@ def pck01_knapsacks(spark, d):
     return bins.groupBy("batch").agg(F.count("*").alias("bins"), F.sum(F.size("lengths")).alias("rows"), F.max(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("fullest"))
 
 
+PCK01 = """WITH RECURSIVE l AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS batch, least(n_chars, 8000) AS n FROM documents),
+f(batch, rest, room, bin, took) AS (SELECT batch, list(n ORDER BY n), 8000::BIGINT, 0, 0::BIGINT FROM l GROUP BY batch
+ UNION ALL SELECT batch, CASE WHEN k > 0 THEN list_concat(rest[1:k - 1], rest[k + 1:]) ELSE rest END, CASE WHEN k > 0 THEN room - rest[k] ELSE 8000 END, CASE WHEN k > 0 THEN bin ELSE bin + 1 END, CASE WHEN k > 0 THEN rest[k] ELSE -1 END
+ FROM (SELECT *, len(list_filter(rest, lambda x: x <= room)) AS k FROM f WHERE len(rest) > 0)),
+b AS (SELECT batch, bin, sum(took) AS filled FROM f WHERE took > 0 GROUP BY ALL)
+SELECT x.batch, x.bins, y.rows, x.fullest FROM (SELECT batch, count(*) AS bins, max(filled)::BIGINT AS fullest FROM b GROUP BY batch) x JOIN (SELECT batch, count(*) AS rows FROM l GROUP BY batch) y USING (batch)"""
+
+
 def bat02_dynamic(spark, d):
     t = D.numbered(read(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
     return P.stream_batches(t, "n_chars", 4, 8192)
 
 
+BAT02 = """WITH RECURSIVE t AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line, least(n_chars, 8192)::BIGINT AS x FROM documents),
+f(line, ended, done, n, longest) AS (SELECT -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT
+ UNION ALL SELECT line, ended, CASE WHEN longest * n >= 32768 THEN n ELSE 0 END, CASE WHEN longest * n >= 32768 THEN 0 ELSE n END, CASE WHEN longest * n >= 32768 THEN 0 ELSE longest END FROM (
+  SELECT t.line, CASE WHEN f.n > 0 AND greatest(f.longest, t.x) * (f.n + 1) > 32768 THEN f.n ELSE 0 END AS ended, CASE WHEN f.n > 0 AND greatest(f.longest, t.x) * (f.n + 1) > 32768 THEN 1 ELSE f.n + 1 END AS n,
+   CASE WHEN f.n > 0 AND greatest(f.longest, t.x) * (f.n + 1) > 32768 THEN t.x ELSE greatest(f.longest, t.x) END AS longest FROM f JOIN t ON t.line = f.line + 1)),
+e AS (SELECT line, 0 AS k, ended AS size FROM f WHERE ended > 0 UNION ALL SELECT line, 1, done FROM f WHERE done > 0)
+SELECT line // 1000 AS batch, (row_number() OVER (PARTITION BY line // 1000 ORDER BY line, k) - 1)::INT AS i, size::INT AS size FROM e"""
+
+
 def bat01_micro(spark, d):
     t = D.numbered(read(spark, d, "customer").select("c_custkey"), "c_custkey")
     return t.groupBy(F.floor(F.col("line_no") / 32).alias("micro")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
@@ -228,7 +252,7 @@ def agg46_merged_shards(spark, d):
 QUERIES = {
     "prj08_alpaca": (prj08_alpaca, PRJ08),
     "prj09_sharegpt": (prj09_sharegpt, PRJ09),
-    "prj10_openai": (prj10_openai, None),
+    "prj10_openai": (prj10_openai, PRJ10),
     "prj13_v1_alpaca": (prj13_v1_alpaca, PRJ13),
     "prj14_v1_sharegpt": (prj14_v1_sharegpt, PRJ14),
     "flt10_shards": (flt10_shards, "SELECT o_custkey % 8 AS shard, count(*) AS n, count(DISTINCT o_custkey) AS problems FROM orders GROUP BY 1"),
@@ -249,9 +273,9 @@ QUERIES = {
     "src15_preview": (src15_preview, "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 2 OFFSET 6"),
     "tok06_blocks": (tok06_blocks, TOK06),
     "tok07_truncated": (tok07_truncated, TOK07),
-    "pck01_knapsacks": (pck01_knapsacks, None),
+    "pck01_knapsacks": (pck01_knapsacks, PCK01),
     "bat01_micro": (bat01_micro, "SELECT i // 32 AS micro, count(*) AS n, min(c_custkey) AS first FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer) GROUP BY 1"),
-    "bat02_dynamic": (bat02_dynamic, None),
+    "bat02_dynamic": (bat02_dynamic, BAT02),
     "agg34_length_cdf": (agg34_length_cdf, AGG34),
     "agg38_reward_accuracy": (agg38_reward_accuracy, "SELECT l_returnflag, avg((l_discount > l_tax)::INT::DOUBLE) AS accuracy FROM lineitem GROUP BY 1"),
     "agg39_category_accuracy": (agg39_category_accuracy, "SELECT coalesce(o_orderpriority, 'Average') AS category, avg((o_orderstatus = 'F')::INT::DOUBLE) * 100 AS accuracy, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderpriority)"),

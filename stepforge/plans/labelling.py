@@ -198,6 +198,10 @@ def win06_first_divergence(spark, d):
     return V.onset(t).groupBy("provenance").agg(F.count("*").alias("n"))
 
 
+_VER02_ROWS = VER02[: VER02.rindex(" SELECT verdict")].replace("SELECT x.step, CASE", "SELECT x.prob_idx, x.plan_idx, x.tpos, x.step, CASE")
+WIN06 = _VER02_ROWS + " SELECT 'corroborated' AS provenance, count(*) AS n FROM r WHERE verdict = 'PASS' HAVING count(*) > 0 UNION ALL SELECT 'localized_fail', count(DISTINCT (prob_idx, plan_idx, tpos)) FROM r WHERE verdict = 'FAIL' HAVING count(*) > 0"
+
+
 def fn07_precedence(spark, d):
     rank = F.create_map(*(x for k, v in S.PRECEDENCE.items() for x in (F.lit(k), F.lit(v))))
     return steps(spark, d).groupBy("chain_id").agg(F.max_by("provenance", F.struct(rank[F.col("provenance")], -F.col("step"))).alias("provenance"))
@@ -244,7 +248,7 @@ QUERIES = {
     "win02_stalls": (win02_stalls, WIN02),
     "win03_skips": (win03_skips, WIN03),
     "win04_abandoned": (win04_abandoned, WIN04),
-    "win06_first_divergence": (win06_first_divergence, None),
+    "win06_first_divergence": (win06_first_divergence, WIN06),
     "win09_smoothed": (win09_smoothed, WIN09),
     "ver02_agreement": (ver02_agreement, VER02),
     "fn07_precedence": (fn07_precedence, FN07),

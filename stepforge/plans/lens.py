@@ -49,3 +49,22 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle(body: str) -> str:
     """SQL with the lens views before it."""
     return f"WITH chains AS ({CHAINS.format(orders='orders')}), steps AS ({STEPS.format(lineitem='lineitem')}) {body}"
+
+
+def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains with a plan and nested steps. Odd steps of three use the step before, every
+    third stands alone; every fourth prints nothing."""
+    from pyspark.sql import functions as F
+
+    raw = F.array_sort(F.collect_list(F.struct("step", "claimed", "adherence", "quantity")))
+    text = lambda c: c.cast("string")
+
+    def step(s):
+        code = F.when(s.step % 3 == 2, F.concat(F.lit("u"), text(s.step), F.lit(" = 1"))).otherwise(F.concat(F.lit("v"), text(s.step), F.lit(" = v"), text(s.step - 1)))
+        out = F.when(s.step % 4 == 3, "[no output]").otherwise(F.concat(F.lit("v = "), text(F.floor(s.quantity).cast("int") % 7)))
+        return F.struct(s.claimed.alias("claimed"), (s.adherence == "self_declared_deviation").alias("is_deviation"), code.alias("code"), code.alias("raw"), F.lit(True).alias("wrapped"), out.alias("exec"))
+
+    t = steps(spark, sf_dir).groupBy("chain_id").agg(F.transform(raw, step).alias("steps"))
+    plan = F.array(*(F.struct(F.lit(f"P{i}").alias("id"), F.lit(f"stage {i}").alias("desc"), F.lit("COMPUTE").alias("action")) for i in range(1, 4)))
+    c = chains(spark, sf_dir).select("chain_id", F.col("prob_idx").cast("int"), F.col("plan_idx").cast("int"), F.col("tpos").cast("int").alias("exec_idx"), (F.col("chain_id") % 7).cast("string").alias("answer"), "correct")
+    return c.join(t, "chain_id").select("prob_idx", "plan_idx", "exec_idx", plan.alias("plan"), "steps", "answer", F.lit(0).alias("fmt_bad"), "correct", F.lit(None).cast("double").alias("plan_quality"), F.lit(None).cast("double").alias("plan_trunc_rate"))

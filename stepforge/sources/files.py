@@ -24,8 +24,12 @@ def jsonl(spark: SparkSession, path: str, schema: str, numbered: bool = False) -
     place in the file, where that is a key."""
     if not numbered:
         return spark.read.schema(schema).json(path)
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    t = spark.createDataFrame(rows, "line_no long, value string")
+    from stepforge.operators.datasets import numbered as in_order
+
+    # Rows of a partition ascend by byte; partitions by where they begin in their file.
+    at = F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    rows = spark.read.text(path).select("value", *(c.alias(f"_at{i}") for i, c in enumerate(at)))
+    t = in_order(rows, "_at0", "_at1", "_at2")
     return t.select("line_no", F.from_json("value", schema).alias("r")).select("line_no", "r.*")
 
 
@@ -133,3 +137,37 @@ def checked(df: DataFrame, required: list[str]) -> DataFrame:
 def last_row(df: DataFrame, order: str) -> DataFrame:
     """SRC-17: the row that is last in ``order``."""
     return df.groupBy().agg(F.max_by(F.struct(*df.columns), order).alias("r")).select("r.*")
+
+
+def subset(df: DataFrame, keys: list[str]) -> DataFrame:
+    """PRJ-01: the named fields that are there, in the order named."""
+    return df.select(*(k for k in keys if k in df.columns))
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """SNK-06, SNK-11: a report as one JSON object in one file; its rows are metrics, few."""
+    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_tokenized(parts: dict[str, DataFrame], path: str) -> None:
+    """SNK-08: named parts of a tokenized dataset, each a folder of Parquet."""
+    for name, t in parts.items():
+        t.write.mode("overwrite").parquet(f"{path}/split={name}")
+
+
+def tokenized(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
+    """SRC-13: the parts that were written, none where the folder has none."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+    found = {n.partition("=")[2]: spark.read.parquet(f"{path}/{n}") for n in names if n.startswith("split=")}
+    return found or None
+
+
+def predictions(df: DataFrame, prompt: str, predicted: str, labels: str, pad: int, ignored: int = -100) -> DataFrame:
+    """SNK-09: id arrays as they are decoded: padding in front of a prediction goes to its
+    end, ignored labels become padding."""
+    first = F.array_position(F.transform(predicted, lambda x: (x != pad).cast("int")), 1).cast("int")
+    lead = F.when(first > 1, first - 1).otherwise(F.lit(0))
+    turned = F.concat(F.slice(predicted, lead + 1, F.greatest(F.size(predicted) - lead, F.lit(0))), F.slice(predicted, F.lit(1), lead))
+    return df.select(F.col(prompt).alias("prompt"), turned.alias("predict"), F.transform(labels, lambda x: F.when(x == ignored, pad).otherwise(x)).alias("label"))
