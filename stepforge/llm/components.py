@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 from stepforge.llm.common import dropped, facts_of, written
 
-#: Parts that the links of one node are cut into.
-SALTS = 64
+#: Parts that the links of one node are cut into; links, counted first, up to which the
+#: least neighbours of all nodes are broadcast instead (16 bytes each).
+SALTS, BROADCAST_LINKS = 64, 200_000
 
 
-def _least(links: DataFrame) -> DataFrame:
+def _least(links: DataFrame, few: bool) -> DataFrame:
     """``links`` with the least neighbour ``m`` of their u; a node with very many links is
-    aggregated and joined in parts."""
+    aggregated and joined in parts, or where its links are."""
+    if few:
+        return links.join(F.broadcast(links.groupBy("u").agg(F.min("v").alias("m"))), "u")
     salted = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
     return salted.join(facts_of(salted, ["u"], m="min(v)"), ["u", "salt"]).drop("salt")
 
@@ -31,11 +34,12 @@ def components(links: DataFrame, name: str = "links") -> tuple[DataFrame, str]:
     now, path = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     state = None
     while True:
+        few = now.count() <= BROADCAST_LINKS
         # Large star: the larger neighbours of a node are tied to its least one, or itself.
-        both = _least(now.union(now.select("v", "u")))
+        both = _least(now.union(now.select("v", "u")), few)
         large = both.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         # Small star: a node and its smaller neighbours are tied to the least of them.
-        small = _least(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
+        small = _least(large, few).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
         after, new_path = written(small.select("x.u", "x.v").where("u <> v").distinct(), name)
         dropped(spark, path)
         now, path = after, new_path

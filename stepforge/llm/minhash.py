@@ -301,6 +301,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
                 most = counted.groupBy("bucket").agg(F.sum("w").alias("members"), F.max_by("root", F.struct("w", "root")).alias("majority"))
                 found = remaining(now, kept(most, "majorities"), sets, percent, similar_size, total, kept)
         links = kept(found, "links")
+        if roots is not None and not links.limit(1).count():
+            continue
         linked = links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         new, new_path = components(linked)
         if roots_path:

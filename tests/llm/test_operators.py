@@ -92,6 +92,17 @@ def test_near_duplicates_hot_group(spark, monkeypatch, limit):
     assert len({c for _, c in want.values()}) > 1
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_components_of_a_star_and_a_path(spark, monkeypatch, few):
+    from stepforge.llm import components
+
+    monkeypatch.setattr(components, "BROADCAST_LINKS", few)
+    links = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(1000, 1030)] + [(2000, 2000), (3001, 3000), (3000, 3001)]
+    roots, _ = components.components(spark.createDataFrame(links, "a long, b long"))
+    want = {i: 0 for i in range(1, 200)} | {i: 1000 for i in range(1001, 1031)} | {3001: 3000}
+    assert {r.node: r.root for r in roots.collect()} == want
+
+
 def test_near_duplicates_documents(spark, docs):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     got = minhash.near_duplicates(docs, width=5).collect()
