@@ -132,7 +132,7 @@ TEMPLATES = {
     "cc0-1.0": [("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related or neighboring rights", "cc0 1 0 universal"])],
 }
 #: Template words too common to be indexed.
-COMMON = "a an and any are as at be by for from in into is it may not of on or that the this to under use used with without you 0 2 3 4".split()
+COMMON = "0 1 2 3 4 a all an and any are as at be been being by do for from has have he if in into is it may no not of on one or other our out should so such that the their then there these this those to under use used was we were when where which who will with within without would you your".split()
 #: Indexed words of a template: those of highest IDF.
 RARE_WORDS = 12
 #: Least share of the IDF weight of a template's indexed words that must agree on one
