@@ -7,8 +7,10 @@ next rule is grown. All counting is done by Spark over all labelled rows, in qua
 so the driver sees a few hundred counts at a time. The list becomes one ordered
 conditional expression.
 
-A window is told by its position and a 64-bit hash, and neighbours in sorted order are
-compared word by word, so that a repeated window is never a mere collision.
+A window is told by its position and what a 64-bit hash leaves beside it; neighbours in
+sorted order are compared word by word, so that a repeated window is never a mere collision.
+Where different windows share a hash, which could stand between equal ones, the windows of
+that text are sorted by their words instead, so none is missed either.
 
 Defined results: null and empty texts have no words and fail the base; very long texts are
 read whole; rows that repeat an id are judged each by their own text; without labelled
@@ -52,7 +54,13 @@ def statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     place = lambda i: f"CAST(element_at(_k, {i}) & (shiftleft(1L, _bits) - 1) AS INT)"
     same = lambda i, j: "(shiftright(element_at(_k, {i}), _bits) = shiftright(element_at(_k, {j}), _bits) AND {words})".format(i=i, j=j, words=" AND ".join(f"element_at(_w, {place(i)} + {d}) = element_at(_w, {place(j)} + {d})" for d in range(3)))
     t = t.withColumn("_dup", F.expr(f"CASE WHEN size(_k) > 1 THEN filter(sequence(1, size(_k)), i -> (i > 1 AND {same('i', 'i - 1')}) OR (i < size(_k) AND {same('i', 'i + 1')})) ELSE CAST(array() AS ARRAY<INT>) END"))
-    t = t.withColumn("_at", F.expr(f"sort_array(transform(_dup, i -> {place('i')}))"))
+    # Different windows with one hash may hide equal ones from each other.
+    hidden = "exists(sequence(2, size(_k)), i -> shiftright(element_at(_k, i), _bits) = shiftright(element_at(_k, i - 1), _bits) AND NOT {same})".format(same=same("i", "i - 1"))
+    t = t.withColumn("_clash", F.expr(f"size(_k) > 2 AND size(_dup) < size(_k) AND {hidden}"))
+    whole = "sort_array(transform(sequence(1, size(_w) - 2), i -> named_struct('g', concat_ws(' ', element_at(_w, i), element_at(_w, i + 1), element_at(_w, i + 2)), 'p', i)))"
+    t = t.withColumn("_g", F.expr(f"CASE WHEN _clash THEN {whole} END"))
+    again = "filter(_g, (x, i) -> get(_g, i - 1).g <=> x.g OR get(_g, i + 1).g <=> x.g)"
+    t = t.withColumn("_at", F.expr(f"CASE WHEN _clash THEN sort_array(transform({again}, x -> x.p)) ELSE sort_array(transform(_dup, i -> {place('i')})) END"))
     # A repeated window covers its three words, less those that the next one covers.
     covered = "aggregate(sequence(1, size(_at)), 0, (a, i) -> a + CASE WHEN i < size(_at) THEN least(3, element_at(_at, least(i + 1, size(_at))) - element_at(_at, i)) ELSE 3 END)"
     without = lambda pattern: F.length("_t") - F.length(F.regexp_replace("_t", pattern, ""))
