@@ -159,15 +159,16 @@ def model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = known.select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("y")).distinct()
     known = known.orderBy(F.xxhash64("k", F.lit(11)), "k", "y").limit(sample_rows)
     # Broadcast: sample_rows rows of 12 bytes at most.
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(F.broadcast(known), "k").select("y", "t")
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(F.broadcast(known), "k").select("k", "y", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = statistics(texts(b.column(1)))
+            x = statistics(texts(b.column(2)))
             lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["k", "y", "x"])
 
-    found = mapped(rows, run, "y int, x array<double>").toArrow()
+    # Of rows that repeat an id the least: as many rows as labels come to the driver.
+    found = mapped(rows, run, "k long, y int, x array<double>").groupBy("k", "y").agg(F.min("x").alias("x")).toArrow()
     x = found.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if len(found) else np.zeros((0, len(FEATURES)))
     order = np.lexsort((*x.T, found.column("y").to_numpy())) if len(found) else []
     return fitted(x[order], found.column("y").to_numpy()[order].astype(float))

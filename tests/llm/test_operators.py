@@ -390,6 +390,17 @@ def test_rule_statistics(spark, docs, odd, empty):
     assert rules.statistics(empty).count() == 0
 
 
+def test_repeated_windows_behind_equal_hashes(spark, monkeypatch):
+    """With a hash that is the same for every window each text takes the exact path."""
+    real = F.expr
+    monkeypatch.setattr(rules.F, "expr", lambda e: real(e.replace("xxhash64(element_at(_w, i), element_at(_w, i + 1), element_at(_w, i + 2))", "CAST(length(element_at(_w, i)) AS BIGINT) * 1048576")))
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd"], n)) for n in (0, 1, 2, 3, 4, 5, 30, 60)] + ["a b c x a b c", "a b c a b c a b c d e f"]
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_repeat_words for r in rules.statistics(t).collect()}
+    assert got == {i: base_statistics(x)[4] for i, x in enumerate(texts)}
+
+
 def test_rules_learned(spark, sf, docs, odd, empty):
     labels = table(spark, sf, "labels")
     rows = rules.op6_quality_rules(spark, sf).join(labels, "doc_id").collect()
@@ -510,6 +521,41 @@ def test_quality_model(spark, sf, docs, odd, empty):
     assert {r.score for r in boosting.scored(odd, flat).collect()} == {0.5}
 
 
+def plain_score(f, x):
+    """One row down every tree, node by node."""
+    total = f.start
+    for node in f.roots.tolist():
+        while f.left[node] != node:
+            node = f.left[node] if x[f.feature[node]] <= f.threshold[node] else f.right[node]
+        total += f.value[node]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_scores_are_those_of_a_plain_walk(spark, sf, docs):
+    labels = table(spark, sf, "labels")
+    forest = boosting.model(docs, labels)
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.score for r in boosting.op8_quality_model(spark, sf).collect()}
+    for d, text in rows.items():
+        assert got[d] == pytest.approx(plain_score(forest, boosting.statistics([text or ""])[0]), abs=1e-12)
+    # Rows that repeat an id and labels that repeat or contradict each other change nothing else.
+    twice = boosting.model(docs.union(docs), labels.union(labels).union(labels.selectExpr("doc_id", "CAST(NULL AS INT)", "toxic")))
+    assert twice.threshold.tolist() == forest.threshold.tolist() and twice.value.tolist() == forest.value.tolist()
+
+
+def test_first_tree_is_the_best_by_brute_force():
+    """The root's split has the largest gain among all features and all cuts."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 9, size=(400, 3)).astype(float)
+    y = ((x[:, 1] > 4) ^ (rng.random(400) < 0.1)).astype(float)
+    f = boosting.fitted(x, y, trees=1, depth=1)
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    best = max(((g[c].sum() ** 2 / (h[c].sum() + 1) + g[~c].sum() ** 2 / (h[~c].sum() + 1), j, v) for j in range(3) for v in range(8) if boosting.LEAST_ROWS <= (c := x[:, j] <= v).sum() <= 400 - boosting.LEAST_ROWS), key=lambda t: t[0])
+    root = f.roots[0]
+    assert (f.feature[root], f.threshold[root]) == best[1:]
+
+
 def test_forest_learns():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))
