@@ -37,6 +37,36 @@ def with_grid(scored: DataFrame, aggregates=AGGREGATES, combines=COMBINES) -> Da
     return t.select(*(c for c in scored.columns if c != "scores"), F.inline(F.array(*cells)))
 
 
+def cell_finals(scored: DataFrame, aggregates=AGGREGATES, combines=COMBINES) -> tuple[DataFrame, list[tuple[int, str, str, float]]]:
+    """Chains with one column ``f{cfg}`` for each cell of the grid, and the cells."""
+    t = scored.select("*", *(step_aggregate(F.col("scores"), h).alias(f"_{h}") for h in aggregates)).drop("scores")
+    cells = [(i * len(combines) + j, h, m, float(w)) for i, h in enumerate(aggregates) for j, (m, w) in enumerate(combines)]
+    own = [c for c in scored.columns if c != "scores"]
+    return t.select(*own, *(combined(F.col(f"_{h}"), F.col("plan_score"), m, w).alias(f"f{c}") for c, h, m, w in cells)), cells
+
+
+def named_cells(t: DataFrame, cells: list[tuple[int, str, str, float]]) -> DataFrame:
+    """Rows with ``cfg`` and the names of its cell, which come last, from literals."""
+    at = lambda i: F.element_at(F.array(*(F.lit(c[i]) for c in cells)), F.col("cfg").cast("int") + 1)
+    return t.select("cfg", at(1).alias("how"), at(2).alias("combine"), at(3).alias("weight"), *(c for c in t.columns if c != "cfg"))
+
+
+def grid_accuracy(scored: DataFrame) -> DataFrame:
+    """AGG-16: share of problems whose best candidate is right, for each cell; cells are
+    numbers until the end, so that what is aggregated has short keys."""
+    rows, cells = cell_scores(scored, "prob_idx", "chain_id", "tpos", "correct")
+    picked = best_of_n(rows, ("cfg",), "score")
+    shares = picked.groupBy("cfg").agg(F.avg(F.col("hit").cast("double")).alias("accuracy"), F.count("*").alias("n_problems"))
+    return named_cells(shares, cells)
+
+
+def cell_scores(scored: DataFrame, *keep: str, digits: int | None = None) -> tuple[DataFrame, list[tuple[int, str, str, float]]]:
+    """A row (cfg, score, keep) for each chain and cell, scores rounded if asked for."""
+    t, cells = cell_finals(scored)
+    rows = t.select(*keep, F.posexplode(F.array(*(f"f{c[0]}" if digits is None else F.round(f"f{c[0]}", digits) for c in cells))).alias("cfg", "score"))
+    return rows, cells
+
+
 def is_right() -> Column:
     return F.coalesce(F.col("correct"), F.lit(False))
 

@@ -14,13 +14,22 @@ def auc(scores: DataFrame, keys: tuple[str, ...] = (), weight: str | None = None
     """AGG-17: P(score of a positive > score of a negative), ties one half; null without
     both classes. ``scores`` has ``score``, boolean ``positive`` and perhaps a weight.
 
-    Equal scores are pre-aggregated, so the running window is over different scores only.
-    """
+    Equal scores are aggregated first. Different ones are dealt out by range of key and
+    score, summed within and offset by the sums of the ranges before, so no task has all
+    scores of a key."""
+    from stepforge.session import written
+
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     by = scores.groupBy(*keys, "score").agg(F.sum(F.when(F.col("positive"), w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("positive"), 0.0).otherwise(w)).alias("q"))
-    below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("below", F.coalesce(F.sum("q").over(below), F.lit(0.0)))
-    return by.groupBy(*keys).agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("q"))), F.sum("p") * F.sum("q")).alias("auc"))
+    parts = max(1, int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Written, so that both passes see the same ranges.
+    t, _ = written(by.repartitionByRange(parts, *keys, "score").withColumn("_part", F.spark_partition_id()), "auc")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each key and range.
+    ranges = t.groupBy(*keys, "_part").agg(F.sum("q").alias("_q")).select(*keys, "_part", F.coalesce(F.sum("_q").over(before), F.lit(0.0)).alias("_before"))
+    here = Window.partitionBy("_part", *keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("below", F.coalesce(F.sum("q").over(here), F.lit(0.0))).join(ranges, [*keys, "_part"]).withColumn("below", F.col("below") + F.col("_before"))
+    return t.groupBy(*keys).agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("q"))), F.sum("p") * F.sum("q")).alias("auc"))
 
 
 def separation(scores: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

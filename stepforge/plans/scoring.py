@@ -89,9 +89,7 @@ AGG13 = oracle(" SELECT count(*) AS n_problems, avg(k / n) AS pass_at_1, avg(CAS
 
 
 def agg16_bon_matrix(spark, d):
-    keys = ("cfg", "how", "combine", "weight")
-    picked = B.best_of_n(B.with_grid(_scored(spark, d)), keys)
-    return picked.groupBy(*keys).agg(F.avg(F.col("hit").cast("double")).alias("accuracy"), F.count("*").alias("n_problems"))
+    return B.grid_accuracy(_scored(spark, d))
 
 
 AGG16 = _sql(" SELECT cfg, how, combine, weight, avg(CAST(h AS INT)::DOUBLE) AS accuracy, count(*) AS n_problems FROM (SELECT cfg, how, combine, weight, prob_idx, arg_max(hit, (final, -tpos)) AS h FROM grid GROUP BY ALL) GROUP BY ALL", True)
@@ -123,8 +121,8 @@ FROM (SELECT s FROM t WHERE q = 1) p CROSS JOIN (SELECT s FROM t WHERE q = 0) n"
 
 
 def agg18_auc_matrix(spark, d):
-    t = B.with_grid(_scored(spark, d)).where("correct IS NOT NULL").select("cfg", "how", "combine", "weight", F.round("final", 9).alias("score"), F.col("correct").alias("positive"))
-    return D.auc(t, ("cfg", "how", "combine", "weight"))
+    t, cells = B.cell_scores(_scored(spark, d).where("correct IS NOT NULL"), "correct", digits=9)
+    return B.named_cells(D.auc(t.withColumnRenamed("correct", "positive"), ("cfg",)), cells)
 
 
 _AUC = """, s AS (SELECT {k}, round({f}, 9) AS score, correct AS p FROM {t} WHERE correct IS NOT NULL),

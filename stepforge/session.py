@@ -36,12 +36,15 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) a local folder is set.
+    Only in local mode, as in tests, a local folder is set where none is named; on a
+    cluster executors wouldn't see it.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if sc.getCheckpointDir() is None and not sc.master.partition("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="stepforge-shared-"))
     return sc.getCheckpointDir()
