@@ -17,7 +17,7 @@ __all__ = ["dropped", "scratch", "ship", "shared_dir", "written", "table", "toke
 BATCH_ROWS = 1000
 #: A key with more rows than this and than one ``HOT_KEYS``-th of all is hot, so that there
 #: are never more than ``HOT_KEYS`` hot keys and what is broadcast for them is bounded.
-HOT_ROWS, HOT_KEYS = 1000, 10_000
+HOT_ROWS, HOT_KEYS = 100, 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

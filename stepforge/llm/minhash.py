@@ -19,8 +19,8 @@ are never made: a component's members need no further links. Comparison is exact
 shingle sets.
 
 Skew. A hot bucket, class or centre (a large group of copies) is never gathered in one
-task: its few facts are broadcast to its rows (``hot_join``), a hot centre's set is copied
-to ``SALTS`` parts of its pairs, and links of one node are dealt out in parts. Documents
+task: its few facts are broadcast to its rows (``hot_join``), a hot centre's set is copied to the
+parts that its pairs are cut into, and links of one node are dealt out in parts. Documents
 without shingles take no part in any join.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]`` after lower-casing A-Z; shingles of five words
@@ -52,8 +52,6 @@ SHINGLE_WORDS, PERCENT = 5, 80
 #: Comparisons of a group that may become pairs; sets to a side of a grid's cell, and
 #: shingles of these.
 PAIRS_LIMIT, CELL, CELL_SHINGLES = 256, 256, 1 << 20
-#: Parts of the pairs of a hot centre.
-SALTS = 64
 #: Rows of full sets in a batch: a long document has very many shingles.
 SET_ROWS = 64
 #: Remembered words of a worker process.
@@ -175,13 +173,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, kept) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = kept(pairs.select("a", "b"), "pairs")
-    many = pairs.groupBy("a").count().where(F.col("count") > hot_limit(pairs.count())).select("a", F.lit(True).alias("_hot"))
+    limit = hot_limit(pairs.count())
+    # A hot centre's pairs are cut into parts of about ``limit``.
+    many = pairs.groupBy("a").count().where(F.col("count") > limit).select("a", F.ceil(F.col("count") / limit).alias("_parts"))
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     if many.limit(1).count():
         hot = F.broadcast(many)  # HOT_KEYS rows at most
-        part = F.when(F.col("_hot"), F.pmod(F.xxhash64("b"), F.lit(SALTS))).otherwise(F.lit(0))
-        copies = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+        parts = F.coalesce(F.col("_parts"), F.lit(1).cast("long"))
+        part, copies = F.pmod(F.xxhash64("b"), parts), F.sequence(F.lit(0).cast("long"), parts - 1)
         pairs = pairs.join(hot, "a", "left").withColumn("salt", part)
         left = left.join(hot, "a", "left").withColumn("salt", F.explode(copies))
     else:
