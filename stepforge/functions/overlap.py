@@ -63,3 +63,9 @@ def metrics_udf(segment: Callable[[str], list[str]] = str.split):
         return pd.DataFrame([{n: round(r[n] * 100, 4) for n in names} for r in rows], columns=list(names))
 
     return score
+
+
+def averaged(df, pred: str, gold: str, segment: Callable[[str], list[str]] = str.split):
+    """AGG-36: the average of each metric over all rows."""
+    scores = df.select(metrics_udf(segment)(pred, gold).alias("m"))
+    return scores.agg(*(F.avg(f"m.`{n}`").alias(n.replace("-", "_")) for n in ("bleu-4", "rouge-1", "rouge-2", "rouge-l")))

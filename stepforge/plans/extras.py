@@ -27,11 +27,12 @@ SELECT sum(v)::BIGINT AS valid, sum(total)::BIGINT AS total, sum(v)::DOUBLE / su
 
 
 def agg37_token_accuracy(spark, d):
-    t = _labels(spark, d).withColumn("predicted", F.transform("labels", lambda x, i: i + 1))
+    # Even rows predict each next label, odd ones always 2.
+    t = _labels(spark, d).withColumn("predicted", F.transform("labels", lambda x, i: F.when(F.col("event_id") % 2 == 0, i + 1).otherwise(2)))
     return t.select("event_id", P.token_accuracy(F.col("predicted"), F.col("labels")).alias("accuracy"))
 
 
-AGG37 = "SELECT event_id, CASE WHEN event_id % 9 > 0 THEN 1.0::DOUBLE END AS accuracy FROM events"
+AGG37 = "SELECT event_id, CASE WHEN e = 0 THEN NULL WHEN event_id % 2 = 0 THEN 1.0::DOUBLE WHEN e >= 2 THEN 1.0::DOUBLE / (e - e // 3) ELSE 0.0 END AS accuracy FROM (SELECT event_id, event_id % 9 AS e FROM events)"
 
 
 def agg41_sequence_logps(spark, d):

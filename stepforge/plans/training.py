@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stepforge.functions import checks as K
 from stepforge.functions import extract as E
-from stepforge.functions import mathx
+from stepforge.functions import mathx, overlap
 from stepforge.functions import scores as S
 from stepforge.functions.code import bounded_search_udf
 from stepforge.operators import batching as B
@@ -178,6 +178,19 @@ def fn20_boxed_answers(spark, d):
     return read(spark, d, "customer").select("c_custkey", mathx.boxed_udf(text).alias("answer"))
 
 
+@query("agg36_overlap", "SELECT avg(CASE WHEN c_custkey % 2 = 0 THEN 100.0::DOUBLE ELSE 0 END) AS bleu_4, avg(CASE WHEN c_custkey % 2 = 0 THEN 100.0::DOUBLE WHEN c_custkey % 4 = 1 THEN 66.6667 ELSE 0 END) AS rouge_1, avg(CASE WHEN c_custkey % 2 = 0 THEN 100.0::DOUBLE ELSE 0 END) AS rouge_2, avg(CASE WHEN c_custkey % 2 = 0 THEN 100.0::DOUBLE WHEN c_custkey % 4 = 1 THEN 66.6667 ELSE 0 END) AS rouge_l FROM customer")
+def agg36_overlap(spark, d):
+    """Equal texts, one of two words, and nothing at all; the one word is too short for
+    pairs of words and is scored apart for its characters."""
+    ship(spark)
+    gold = F.concat("c_name", F.lit(" x"))
+    pred = F.when(F.col("c_custkey") % 2 == 0, gold).when(F.col("c_custkey") % 4 == 1, "x").otherwise("")
+    t = read(spark, d, "customer").select("c_custkey", gold.alias("gold"), pred.alias("pred"))
+    out = overlap.averaged(t, "pred", "gold")
+    same = overlap.averaged(t.withColumn("pred", F.when(F.col("c_custkey") % 2 == 0, F.col("pred")).otherwise("")), "pred", "gold")
+    return same.select("bleu_4").crossJoin(out.select("rouge_1", "rouge_2", "rouge_l"))  # one row each
+
+
 @query("fn12_loose_values", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '3: ' || c_custkey WHEN 1 THEN 'plain' ELSE NULL END AS value FROM customer")
 def fn12_loose_values(spark, d):
     out = F.when(F.col("c_custkey") % 4 == 0, F.format_string("x\nr = 3: %s\n", "c_custkey")).when(F.col("c_custkey") % 4 == 1, "plain ").when(F.col("c_custkey") % 4 == 2, "Traceback: a = 1").otherwise("[timeout]")
@@ -224,6 +237,17 @@ def agg09_attempts(spark, d):
     return V.attempt_counts(V.integrity(t), outcomes.limit(0), outcomes, bounded)
 
 
+@query("fn07_settled", oracle(_OUTCOME + """ SELECT c.prob_idx::INT AS prob_idx, c.plan_idx::INT AS plan_idx, c.tpos::INT AS exec_idx, s.step::INT AS step, CASE WHEN o.correct THEN 'PASS' END AS verdict,
+ CASE WHEN o.correct THEN 'outcome_consistent' WHEN NOT o.correct THEN 'suspect' ELSE 'unverified' END AS provenance
+ FROM steps s JOIN chains c USING (chain_id) LEFT JOIN o ON o.prob_idx = c.prob_idx AND o.plan_idx = c.plan_idx AND o.tpos = c.tpos AND o.step = s.step"""))
+def fn07_settled(spark, d):
+    """Labels by precedence: what the same steps were given before stands below."""
+    t = trajectories(spark, d)
+    outcomes = V.outcome(t)
+    lower = outcomes.withColumn("provenance", F.lit("unverified")).withColumn("verdict", F.lit("FAIL"))
+    return V.settled(t, lower, outcomes)
+
+
 @query("jn07_plan_scores", oracle(" SELECT chain_id, CASE WHEN tpos % 2 = 0 THEN plan_score END AS score FROM chains"))
 def jn07_plan_scores(spark, d):
     c = chains(spark, d)
