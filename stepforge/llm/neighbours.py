@@ -17,8 +17,8 @@ about the query's projection is opened in every array; a vector collects a colli
 each window it is in, and those with ``THRESHOLD`` of all are verified with inner products in
 double precision. Windows widen (virtual rehashing: no second index) until they reach
 ``REACH`` times the distance of the k-th best that is known by then. So the verified share
-follows from the data: on isotropic random vectors, where all distances are alike, about a
-third of a block; far less where vectors are clustered. ``verified_share`` reports it.
+follows from the data: on isotropic random vectors, where all distances are alike, about
+half of a block; far less where vectors are clustered. ``verified_share`` reports it.
 
 Each vector is sent to its block once; queries are sent after them and streamed past the
 index, so a task holds one block and ``QUERY_ROWS`` queries. Of equal vectors the k + 1 smallest
