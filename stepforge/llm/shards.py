@@ -7,8 +7,8 @@ smallest; a footer. Documents ascend by id, over all shards as in each.
 
 Words are encoded by the ``tokenizers`` library's model of the vocabulary. As the vocabulary
 always separates words where white space or punctuation is, the ids of a word don't depend
-on its neighbours: a worker cuts texts at these places, gives the library each word that it
-has not met before and remembers the answer.
+on its neighbours: a worker cuts whole texts into words by the vocabulary's rules, gives the
+library each word that it has not met before and remembers the answer.
 
 ``write_shards`` encodes first, so that packed ids and not texts are dealt out; tasks are
 ranges of document ids cut at approximate quantiles, as many as ``docs_per_shard`` asks for,
@@ -27,7 +27,9 @@ from __future__ import annotations
 
 import array
 import functools
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepforge.llm.bpe import Memory, Vocabulary, byte_characters
+from stepforge.llm.bpe import MEMORY, REMEMBERED, Vocabulary, byte_characters
 from stepforge.llm.common import dropped, mapped, scratch, table, texts, tokenizer_path, written
 from stepforge.llm.eliasfano import EliasFano
 
@@ -48,21 +50,68 @@ DOCS_PER_SHARD, IDS_PER_FILE = 16_384, 1 << 28
 END_ID = 2
 
 
-class LibraryMemory(Memory):
-    """Packed ids of chunks whose words the library encodes."""
+class Words(dict):
+    """Packed ids of words; the library's model encodes those not met before."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, path: str, code: str):
         from tokenizers import Tokenizer
 
-        super().__init__(vocabulary)
-        self.model = Tokenizer.from_file(vocabulary.path).model
+        super().__init__()
+        self.model, self.code = Tokenizer.from_file(path).model, code
         self.letters = dict(enumerate(byte_characters()))
-        self.encode_words = self.by_library
 
-    def by_library(self, words: list[bytes]) -> list[bytes]:
-        # The model takes a visible character for each byte.
-        tokens = (self.model.tokenize(w.decode("latin-1").translate(self.letters)) for w in words)
-        return [array.array(self.code, [t.id for t in ts]).tobytes() for ts in tokens]
+    def __missing__(self, word: str) -> bytes:
+        # The model takes a visible character for each byte; those of ASCII stand for themselves.
+        seen = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        packed = array.array(self.code, [t.id for t in self.model.tokenize(seen)]).tobytes()
+        if len(self) >= MEMORY:
+            self.clear()
+        if len(word) <= REMEMBERED:
+            self[word] = packed
+        return packed
+
+
+class LibraryMemory:
+    """Packed ids of texts whose words the library encodes."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.code = "H" if vocabulary.width == "<u2" else "I"
+        self.words = Words(vocabulary.path, self.code)
+        self.special = {t: array.array(self.code, [i]).tobytes() for t, i in vocabulary.special.items()}
+        # The same rules with the letters and numbers of Latin-1 written out, for ``re``,
+        # which is faster; where they name other properties, they stay as they are.
+        rules = vocabulary.words.pattern
+        for kind in "LN":
+            rules = rules.replace(f"\\p{{{kind}}}", "".join(c for c in map(chr, range(256)) if unicodedata.category(c)[0] == kind))
+        self.latin = vocabulary.words if "\\p" in rules.lower() else re.compile(rules)
+
+    def words_of(self, piece: str) -> list[str]:
+        """The words of a piece without special tokens."""
+        try:
+            piece.encode("latin-1")
+        except UnicodeEncodeError:
+            v = self.vocabulary
+            # Characters younger than Python's tables: the library's own rules, which are
+            # slower, cut the chunks that have them.
+            if any(unicodedata.category(c) == "Cn" for c in set(piece)):
+                return [w.decode() for c in v.chunks(piece) for w in v.words_of(c)]
+            return v.words.findall(v.normal(piece))
+        # Latin-1 is in normal form C, in lower case too.
+        return self.latin.findall(piece.lower())
+
+    def packed(self, rows: list[str]) -> list[bytes]:
+        """Ids of whole texts, as little-endian integers of the vocabulary's width."""
+        get, specials, out = self.words.__getitem__, self.vocabulary.specials, []
+        for text in rows:
+            if "<" in text and specials and len(pieces := specials.split(text)) > 1:
+                out.append(b"".join([self.special[p] if p in self.special else b"".join(map(get, self.words_of(p))) for p in pieces]))
+            else:
+                out.append(b"".join(map(get, self.words_of(text))))
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        return array.array(self.code, self.packed([text])[0]).tolist()
 
 
 @functools.lru_cache(maxsize=4)

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on odd inputs."""
 
+import array
 import base64
 import collections
 import hashlib
@@ -343,6 +344,40 @@ def test_shards_hot_id_and_rolled_files(spark, library):
     assert [tuple(r) for r in again.orderBy("start").collect()] == [tuple(r)[:4] for r in got]
 
 
+def test_shards_words_cost_once(library):
+    """A new form of a known word (case, punctuation) makes no calls of its own."""
+    import sys
+
+    words = ["of", "the", "océan", "straße", "it's", "x1", "œuvre", "日本", "Σίσυφος", "İzmir", "\u1c89a", "<|endoftext|>"]
+    forms = [f"{a}{w.title() if k else w}{b}" for w in words for k in (0, 1) for a in ("", "(", "\"", "<", "\x1c", "\xad") for b in ("", ",", ".", "...", "!?", "***", "\xbd", "'LL", "e\u0301")]
+    known = shards.LibraryMemory(bpe.Vocabulary(tokenizer_path()))
+    texts = [" ".join(forms), "\xa0".join(f for f in forms if f.isascii()), "\x85".join(f for f in forms if max(f) < "\u0100")]
+    assert [array.array(known.code, p).tolist() for p in known.packed(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for t in forms:
+        assert known.encode(t) == library.encode(t, add_special_tokens=False).ids, t
+
+    plain = [f for f in forms if f.isascii() and "|" not in f]
+    known, calls = shards.LibraryMemory(bpe.Vocabulary(tokenizer_path())), [0]
+
+    def count(frame, event, arg):
+        calls[0] += event == "call"
+
+    sys.setprofile(count)
+    try:
+        known.packed([" ".join(plain)])
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < len(set(plain)) / 2
+
+
+def test_shards_memory_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(shards, "MEMORY", 50)
+    known = shards.LibraryMemory(bpe.Vocabulary(tokenizer_path()))
+    text = " ".join(f"{a}{b}" for a in ("re", "un", "é") for b in bpe.byte_characters()) + " " + "ab" * bpe.REMEMBERED
+    assert known.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert len(known.words) <= 50 and max(map(len, known.words)) <= bpe.REMEMBERED
+
+
 def test_long_words(library):
     import time
 
