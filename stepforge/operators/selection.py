@@ -84,9 +84,14 @@ def best_of_n(scored: DataFrame, keys: tuple[str, ...] = (), final: str = "final
 
 
 def answer_groups(scored: DataFrame, keys: tuple[str, ...] = (), final: str = "final") -> DataFrame:
-    """Per problem and answer: summed score, votes, first position and its correctness."""
+    """Per problem and answer: summed score, votes, first position and its correctness.
+
+    Scores are added in the order of positions: totals that differ in their last bit only
+    decide votes, so they mustn't depend on how rows arrive."""
+    listed = F.array_sort(F.collect_list(F.when(F.col(final).isNotNull(), F.struct("tpos", F.col(final).cast("double").alias("x")))))
+    total = F.when(F.size(listed) > 0, F.aggregate(listed, F.lit(0.0), lambda s, p: s + p.x))
     return scored.where("answer IS NOT NULL").groupBy(*keys, "prob_idx", "answer").agg(
-        F.sum(final).alias("total"), F.count("*").alias("votes"), F.min("tpos").alias("first"), F.min_by(is_right(), "tpos").alias("hit")
+        total.alias("total"), F.count("*").alias("votes"), F.min("tpos").alias("first"), F.min_by(is_right(), "tpos").alias("hit")
     )
 
 
