@@ -51,13 +51,42 @@ def named_cells(t: DataFrame, cells: list[tuple[int, str, str, float]]) -> DataF
     return t.select("cfg", at(1).alias("how"), at(2).alias("combine"), at(3).alias("weight"), *(c for c in t.columns if c != "cfg"))
 
 
+def by_problem(scored: DataFrame, *keep: str, aggregates=AGGREGATES, combines=COMBINES) -> tuple[DataFrame, list[Column], list[tuple[int, str, str, float]]]:
+    """Chains dealt out by problem, with their aggregates; the score of each cell as an
+    expression of those; and the cells.
+
+    What is shuffled and sorted is one narrow row for each chain, however many cells there
+    are: scores of cells come into being where they are aggregated."""
+    t = scored.select(*keep, "plan_score", is_right().alias("hit"), *(step_aggregate(F.col("scores"), h).alias(f"_{h}") for h in aggregates))
+    parts = max(1, int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = [(i * len(combines) + j, h, m, float(w)) for i, h in enumerate(aggregates) for j, (m, w) in enumerate(combines)]
+    return t.repartition(parts, "prob_idx"), [combined(F.col(f"_{h}"), F.col("plan_score"), m, w) for _, h, m, w in cells], cells
+
+
+def listed_cells(t: DataFrame, cells: list[tuple[int, str, str, float]], **values) -> DataFrame:
+    """A row for each cell from the one row of ``t``; ``values`` make columns of numbers."""
+    rows = [F.struct(F.lit(c).alias("cfg"), F.lit(h).alias("how"), F.lit(m).alias("combine"), F.lit(w).alias("weight"), *(v(c).alias(n) for n, v in values.items())) for c, h, m, w in cells]
+    return t.select(F.inline(F.array(*rows)))
+
+
 def grid_accuracy(scored: DataFrame) -> DataFrame:
-    """AGG-16: share of problems whose best candidate is right, for each cell; cells are
-    numbers until the end, so that what is aggregated has short keys."""
-    rows, cells = cell_scores(scored, "prob_idx", "chain_id", "tpos", "correct")
-    picked = best_of_n(rows, ("cfg",), "score")
-    shares = picked.groupBy("cfg").agg(F.avg(F.col("hit").cast("double")).alias("accuracy"), F.count("*").alias("n_problems"))
-    return named_cells(shares, cells)
+    """AGG-16: share of problems whose best candidate is right, for each cell."""
+    t, finals, cells = by_problem(scored, "prob_idx", "tpos")
+    best = t.groupBy("prob_idx").agg(*(F.max(F.struct(f.alias("final"), (-F.col("tpos")).alias("turn"), F.col("hit").alias("hit"))).alias(f"b{c[0]}") for f, c in zip(finals, cells, strict=True)))
+    sums = best.groupBy().agg(F.count("*").alias("n"), *(F.avg(F.col(f"b{c[0]}.hit").cast("double")).alias(f"a{c[0]}") for c in cells))
+    return listed_cells(sums.where("n > 0"), cells, accuracy=lambda c: F.col(f"a{c}"), n_problems=lambda c: F.col("n"))
+
+
+def vote_accuracy(scored: DataFrame) -> DataFrame:
+    """AGG-20 for each cell: share of all problems whose voted answer is right; scores are
+    rounded to 9 digits and totals to 6."""
+    t, finals, cells = by_problem(scored, "prob_idx", "tpos", "answer")
+    # Answers are missing in some rows, which count as problems but don't vote.
+    groups = t.groupBy("prob_idx", "answer").agg(F.min("tpos").alias("first"), F.min_by("hit", "tpos").alias("hit"), *(F.round(F.sum(F.round(f, 9)), 6).alias(f"t{c[0]}") for f, c in zip(finals, cells, strict=True)))
+    vote = lambda c: F.when(F.col("answer").isNotNull(), F.struct(F.col(f"t{c}").alias("total"), (-F.col("first")).alias("turn"), F.col("hit")))
+    won = groups.groupBy("prob_idx").agg(*(F.max(vote(c[0])).alias(f"b{c[0]}") for c in cells))
+    sums = won.groupBy().agg(F.count("prob_idx").alias("n"), F.count("b0").alias("voted"), *(F.count_if(f"b{c[0]}.hit").alias(f"a{c[0]}") for c in cells))
+    return listed_cells(sums.where("voted > 0"), cells, accuracy=lambda c: F.col(f"a{c}") / F.col("n"))
 
 
 def cell_scores(scored: DataFrame, *keep: str, digits: int | None = None) -> tuple[DataFrame, list[tuple[int, str, str, float]]]:

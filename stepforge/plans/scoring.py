@@ -149,11 +149,7 @@ AGG20 = _sql("""SELECT prob_idx, arg_max(answer, (total, -first)) AS answer, max
 
 
 def agg20_vote_grid(spark, d):
-    keys = ("cfg", "how", "combine", "weight")
-    t = B.with_grid(_scored(spark, d)).withColumn("final", F.round("final", 9))
-    total = F.lit(chains(spark, d).select("prob_idx").distinct().count())
-    won = B.weighted_vote(B.answer_groups(t, keys).withColumn("total", F.round("total", 6)), keys)
-    return won.groupBy(*keys).agg((F.count_if("hit") / total).alias("accuracy"))
+    return B.vote_accuracy(_scored(spark, d))
 
 
 AGG20G = _sql(""", g AS (SELECT cfg, how, combine, weight, prob_idx, answer, round(sum(round(final, 9)), 6) AS total, min(tpos) AS first, arg_min(hit, tpos) AS hit FROM grid WHERE answer IS NOT NULL GROUP BY ALL),
