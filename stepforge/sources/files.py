@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stepforge.session import dropped, written
+
 #: Extensions and the formats that read them.
 FORMATS = {"arrow": "arrow", "csv": "csv", "json": "json", "jsonl": "json", "parquet": "parquet", "txt": "text"}
 STAGE = "struct<id:string,desc:string,action:string>"
@@ -43,7 +45,10 @@ def shard_scores(shard: DataFrame) -> DataFrame:
     t = shard.select("file", F.explode("step_score").alias("key", "by")).select("file", "key", F.explode("by").alias("step", "score"))
     at = F.split("key", ":")
     t = t.select("file", at[0].cast("int").alias("prob_idx"), at[1].cast("int").alias("tpos"), F.col("step").cast("int").alias("step"), "score")
-    return t.groupBy("prob_idx", "tpos", "step").agg(F.max_by("score", "file").alias("score"))
+    # A row for each file; their numbers are short and hashable where names aren't.
+    turns = shard.select("file").distinct().withColumn("_turn", F.row_number().over(Window.orderBy("file")))
+    t = t.join(F.broadcast(turns), "file")
+    return t.groupBy("prob_idx", "tpos", "step").agg(F.max_by("score", "_turn").alias("score"))
 
 
 def shard_plan_scores(shard: DataFrame) -> DataFrame:
@@ -113,12 +118,19 @@ def write_jsonl(df: DataFrame, path: str, *order: str) -> None:
     (df.orderBy(*order) if order else df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_shards(scores: DataFrame, path: str, n: int) -> None:
-    """SNK-05: one JSON object for each shard ``prob_idx % n``."""
+def write_shards(scores: DataFrame, path: str, n: int, most: int = 10_000) -> None:
+    """SNK-05: JSON objects for each shard ``prob_idx % n``, each in a file of its own.
+
+    A shard of more than about ``most`` chains has several objects, dealt out by hash of
+    the key, so that no task holds a whole shard; readers merge files anyway."""
     key = F.concat_ws(":", "prob_idx", "tpos")
     by = scores.groupBy(F.pmod("prob_idx", F.lit(n)).alias("shard"), key.alias("key")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("step").cast("string"), "score")))).alias("by"))
-    out = by.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("key", "by"))).alias("step_score"), F.lit(0).alias("parse_fail"))
-    out.write.mode("overwrite").partitionBy("shard").json(path)
+    by, scratched = written(by, "shards")
+    parts = max(1, -(-by.count() // (n * most)))
+    dealt = by.withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    out = dealt.groupBy("shard", "_part").agg(F.map_from_entries(F.collect_list(F.struct("key", "by"))).alias("step_score"), F.lit(0).alias("parse_fail"))
+    out.drop("_part").write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("shard").json(path)
+    dropped(scores.sparkSession, scratched)
 
 
 def failures(df: DataFrame, score: str, order: str, most: int = 20) -> DataFrame:
