@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stepforge.functions import code as C
+from stepforge.functions import extract as E
 from stepforge.operators import labels as L
 from stepforge.operators import verify as V
 from stepforge.sources import files
@@ -49,3 +50,9 @@ def test_stalls_sort_once(spark):
                 want |= {(c, r[1]): len(held) >= run for r in held}
         assert got == want, run
     assert L.stalls(t)._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+
+
+def test_has_value_is_last_value(spark):
+    outs = ["", " ", "\n", "\x1c", "\x1d \x1e", "\x85", " ", " ", "a", " a: ", "=", "x = 1\n\n", "[timeout]", "[no output]", "a\nTraceback", "\x1f", None, " b", "\x0b\x0c"]
+    t = spark.createDataFrame([(o,) for o in outs], "o string").select("o", E.has_value(F.col("o")).alias("a"), E.last_value(F.col("o")).isNotNull().alias("b"))
+    assert [r for r in t.collect() if r.a is not r.b] == []
